@@ -1,0 +1 @@
+"""Nothing streams in the surveyed work; mergeable partial results are kept as tables (see operators and llm)."""
