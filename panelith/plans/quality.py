@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import heavy, references
+from ..operators import heavy, references, spikes
 from ..session import table, union_all
 
 
@@ -31,6 +31,11 @@ def p1_orphan_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("src_table", "period", "kind").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("key").alias("n_keys"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "earnings").select(F.col("rec_id").alias("id"), F.col("feed").alias("source"), F.col("anno").alias("period"), F.col("retrib03").alias("pay"), F.col("gior_r").alias("days"), F.col("sett_r").alias("weeks"))
+    return spikes.implausible(e).select(F.col("id").alias("rec_id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "earnings", ["matr_az", "cod_pgr"])
     return heavy.heavy_keys(e, ["matr_az", "cod_pgr"], 0.02).select("key_field", "key_value")
@@ -46,7 +51,7 @@ def p5_worker_results(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("key").alias("cod_pgr"), "n_records", F.col("n_members").alias("n_firms"), F.round("total_value", 2).alias("total_pay"), "n_above")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_report, p5_found, p5_firm_results, p5_worker_results)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_report, p2_found, p5_found, p5_firm_results, p5_worker_results)}
 
 _REFS = """refs AS (SELECT 'earnings' AS src_table, rec_id, matr_az AS k, loaded_at AS t, anno AS period FROM earnings WHERE matr_az IS NOT NULL
   UNION ALL SELECT 'firm_clusters', rec_id, firm, loaded_at, start_year FROM firm_clusters WHERE firm IS NOT NULL),
