@@ -150,7 +150,6 @@ def latent_space(spark, items: Items, idf: np.ndarray) -> np.ndarray:
     width = min(rank + 8, len(texts), nt)
     passages = spark.createDataFrame(pd.DataFrame({"text": range(len(texts))})).repartition(4)
     q = np.random.default_rng(SEED).standard_normal((nt, width)).astype(np.float32)
-    r = np.eye(width)
     for _ in range(1 + POWER):
         held = spark.sparkContext.broadcast(q)
 
@@ -165,14 +164,20 @@ def latent_space(spark, items: Items, idf: np.ndarray) -> np.ndarray:
                 for i in range(0, cols.size, 4096):
                     yield pa.RecordBatch.from_pydict({"term": pa.array(cols[i : i + 4096], pa.int32()), "z": pa.array([x.tobytes() for x in z[i : i + 4096]], pa.binary())})
 
-        z = np.zeros((nt, width))
+        q = np.zeros((nt, width), np.float32)
         for row in passages.mapInArrow(product, "term int, z binary").toLocalIterator():
-            z[row["term"]] += np.frombuffer(row["z"], np.float32)
-        q, r = np.linalg.qr(z)
-        q = q.astype(np.float32)
+            q[row["term"]] += np.frombuffer(row["z"], np.float32)
         held.unpersist()
-    u, _, _ = np.linalg.svd(r)
-    return np.vstack([q @ u[:, :rank].astype(np.float32), np.zeros((1, rank), np.float32)])
+        held.destroy()
+        q = _orthonormal(q)
+    return np.vstack([q[:, :rank], np.zeros((1, q[:, :rank].shape[1]), np.float32)])
+
+
+def _orthonormal(z: np.ndarray) -> np.ndarray:
+    """Left singular vectors of z, the leading first, through its small Gram matrix; directions without energy are dropped."""
+    value, vector = np.linalg.eigh((z.T @ z).astype(np.float64))
+    keep = value > value[-1] * 1e-9
+    return z @ (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)[:, ::-1]
 
 
 def lcs_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
