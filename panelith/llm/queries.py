@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks
+from . import leaks, residue
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,5 +18,9 @@ def p6_item_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("answered").alias("n_answered"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_item_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents", ["doc_id", "text"]))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_item_report, p8_found)}
 SQL: dict[str, str] = {}
