@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, residue
+from . import leaks, mixing, percentiles, residue, set_sketches
+from .provinces import with_province
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,5 +23,72 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_item_report, p8_found)}
-SQL: dict[str, str] = {}
+SHARES = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "earnings", ["matr_az", "cod_pgr", "anno", "sett_r", "retrib03", "loaded_at"])
+    return with_province(e, table(spark, d, "firms", ["matr_az", "prov", "loaded_at"]))
+
+
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each reading and level: the firm in a year and the province in a year."""
+    firm = F.struct(F.lit("firm").alias("level"), F.col("matr_az").alias("matr_az"))
+    prov = F.struct(F.lit("province").alias("level"), F.lit(None).cast("bigint").alias("matr_az"))
+    levels = F.explode(F.filter(F.array(firm, prov), lambda x: (x["level"] == "province") | x["matr_az"].isNotNull()))
+    value = F.explode(F.array(F.struct(F.lit("retrib03").alias("measure"), F.col("retrib03").alias("v")), F.struct(F.lit("sett_r").alias("measure"), F.col("sett_r").cast("double").alias("v"))))
+    return _grouped(spark, d).select("prov", "anno", "retrib03", "sett_r", levels.alias("x")).select("x.level", "x.matr_az", "prov", "anno", value.alias("y")).select("level", "matr_az", "prov", "anno", "y.measure", "y.v")
+
+
+GROUP = ["level", "matr_az", "prov", "anno", "measure"]
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.percentiles(_readings(spark, d), GROUP, SHARES)
+
+
+def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.combined(percentiles.summaries(_readings(spark, d).where("level = 'province'"), GROUP), GROUP, SHARES)
+
+
+DIMS = ["load_day", "anno", "prov"]
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    rows = _grouped(spark, d).withColumn("load_day", F.to_date("loaded_at"))
+    return set_sketches.sketches(rows, DIMS, ["cod_pgr", "matr_az"])
+
+
+def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = set_sketches.counts(_sets(spark, d))
+    level = F.concat_ws(",", *[F.when(F.col("level").bitwiseAND(F.lit(1 << i)) > 0, c) for i, c in enumerate(DIMS)])
+    return out.select(level.alias("level"), *DIMS, "field", *[F.round(c, 2).alias(c) for c in ("estimate", "low", "high")])
+
+
+def p4_year_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    years = set_sketches.sketches(_grouped(spark, d), ["anno", "prov"], ["cod_pgr", "matr_az"]).where("level = 3")
+    a = years.select("field", "prov", F.col("anno").cast("bigint").alias("anno"), F.col("registers").alias("a"))
+    b = years.select(F.col("field").alias("f"), F.col("prov").alias("p"), (F.col("anno").cast("bigint") - 1).alias("y"), F.col("registers").alias("b"))
+    pairs = a.join(b, (a["field"] == F.col("f")) & a["prov"].eqNullSafe(F.col("p")) & (a["anno"] == F.col("y"))).select("field", "prov", "anno", "a", "b")
+    out = set_sketches.overlaps(pairs)
+    return out.select("field", "prov", "anno", *[F.round(c, 4).alias(c) for c in ("union_size", "intersection_size", "jaccard", "error")])
+
+
+def p7_copies(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents", ["doc_id", "source", "text"]), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents", ["doc_id", "source", "text"]), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_combined_days, p4_distinct_counts, p4_year_overlaps, p6_found, p6_item_report, p7_copies, p7_shares, p8_found)}
+_PICKS = ", ".join(f"max(CASE WHEN i = greatest(1, CAST(ceil({q} * n) AS BIGINT)) THEN v END) AS p{round(100 * q)}" for q in SHARES)
+SQL: dict[str, str] = {
+    "p3_percentiles": f"""WITH f AS (SELECT matr_az, arg_max(p, (loaded_at, p)) AS prov FROM (SELECT matr_az, nullif(upper(trim(prov)), '') AS p, loaded_at FROM firms) WHERE p IS NOT NULL AND matr_az IS NOT NULL GROUP BY matr_az),
+e AS (SELECT e.matr_az, f.prov, anno, retrib03, CAST(sett_r AS DOUBLE) AS sett_r FROM earnings e LEFT JOIN f ON f.matr_az = e.matr_az),
+m AS (SELECT matr_az, prov, anno, 'retrib03' AS measure, retrib03 AS v FROM e UNION ALL SELECT matr_az, prov, anno, 'sett_r', sett_r FROM e),
+x AS (SELECT 'firm' AS level, matr_az, prov, anno, measure, v FROM m WHERE matr_az IS NOT NULL UNION ALL SELECT 'province', NULL, prov, anno, measure, v FROM m),
+r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY level, matr_az, prov, anno, measure) AS n FROM x WHERE v IS NOT NULL AND NOT isnan(v) WINDOW w AS (PARTITION BY level, matr_az, prov, anno, measure ORDER BY v))
+SELECT level, matr_az, prov, anno, measure, n, {_PICKS} FROM r GROUP BY level, matr_az, prov, anno, measure, n""",
+}
