@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import panels, quality
 
-MODULES = [quality]
+MODULES = [quality, panels]
 
 
 def queries() -> dict:
