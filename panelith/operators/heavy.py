@@ -50,11 +50,11 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.02) -> DataFrame
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", on: Column | None = None, share: float = 0.01, heavy: list[int] | None = None) -> DataFrame:
     """left joined with right on key (how: inner, left, left_semi or left_anti), with no task left with a heavy key.
 
-    right has the key under the name "_k" beside its own columns, whose names must differ from left's; on is a further
-    condition. Values of key with at least that share of left's rows are heavy, unless given. Nulls match nothing.
+    right has the key under the name "_k" beside its own columns; those that left has too get "_right" added. on is a further
+    condition. Values of key with at least that share of left's rows are heavy, unless given. Nulls match nothing; either side
+    may be empty.
     """
-    if clash := set(left.columns) & set(right.columns):
-        raise ValueError(f"both sides have {sorted(clash)}")
+    right = right.withColumnsRenamed({c: f"{c}_right" for c in right.columns if c in left.columns})
     if heavy is None:
         heavy = heavy_candidates(left, [key], share)[1][key]
     is_heavy = F.col(key).isin(heavy) if heavy else F.lit(False)
