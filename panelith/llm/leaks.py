@@ -127,9 +127,9 @@ def term_weights(encoded: DataFrame, items: Items) -> tuple[np.ndarray, float, n
             n = r["n"]
         else:
             df[r["k"]] = r["n"]
-    idf = np.log((1 + n) / (1 + df))
+    idf = np.log((2 + n) / (1 + df))
     idf[nt] = idf[nt + 1] = 0
-    return idf[: nt + 1], float(np.log(1 + n)), idf[nt + 1 :]
+    return idf[: nt + 1], float(np.log(2 + n)), idf[nt + 1 :]
 
 
 def _tf_idf(rows: list[np.ndarray], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -295,6 +295,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": pa.array(encode(b.column("text").to_pylist(), voc), pa.binary())})
 
     encoded = cut(documents.select("doc_id", "text").mapInArrow(encoding, "doc_id bigint, ids binary"))
+    if encoded.isEmpty():
+        return spark.createDataFrame([], schema)
     idf, unseen, weight = term_weights(encoded, own)
     shared = spark.sparkContext.broadcast(Search(own, idf, unseen, weight, latent_space(spark, own, idf)))
 

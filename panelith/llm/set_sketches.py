@@ -132,7 +132,7 @@ def sketches(rows: DataFrame, dims: list[str], fields: list[str]) -> DataFrame:
     """
     data = rows.select(*[F.col(d).cast("string").alias(d) for d in dims], *[F.when(F.col(f).isNotNull(), F.xxhash64(f)).alias(f) for f in fields])
     levels = range(2 ** len(dims))
-    schema = f"level int, {', '.join(f'{d} string' for d in dims)}, field string, registers binary"
+    schema = ", ".join(["level int", *[f"{d} string" for d in dims], "field string", "registers binary"])
 
     def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
         coded = [table.column(d).combine_chunks().dictionary_encode(null_encoding="encode") for d in dims]
