@@ -25,6 +25,8 @@ SIZE, ORDER = 28 + len(MARKS), 4
 COST, LEAST, LEAST_FIELD, LEAST_BRACKET = 0.25, 12.0, 4.5, 10.0
 #: Share of a sentence that residue must cover.
 COVERED = 0.6
+#: Step of the stored ratios.
+UNIT = 0.05
 WINDOW = 12
 
 _FOLD = str.maketrans("àáâäèéêëìíîïòóôöùúûüç’‘‑–—", "aaaaeeeeiiiioooouuuuc''---")
@@ -98,12 +100,20 @@ def corpus_counts(documents: DataFrame, only: Callable[[str], bool] | None = Non
 
 
 def ratios(corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratios against the corpus of each n-gram: for placeholders, for residue passages."""
+    """Log-likelihood ratios against the corpus of each n-gram, in units of UNIT: for placeholders, for residue passages.
+
+    A byte each, as every task holds them.
+    """
     natural = conditional(corpus)
-    limit = lambda seeds: np.clip(conditional(count([f"\n{t}\n" for t in seeds])) - natural, -6, 6).astype(np.float32)
+    limit = lambda seeds: np.round(np.clip(conditional(count([f"\n{t}\n" for t in seeds])) - natural, -6, 6) / UNIT).astype(np.int8)
     return limit(residue_seeds.placeholders()), limit(residue_seeds.passages())
 
 
+def score(ratio: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio at each n-gram."""
+    return ratio[g] * np.float32(UNIT)
+
+
 def stretches(llr: np.ndarray, least: float) -> list[tuple[int, int, float]]:
     """Start, end and sum of the stretches whose sum, less COST a symbol, reaches least; each as far as its highest sum."""
     c = np.r_[0.0, np.cumsum(llr - COST)]
@@ -133,10 +143,10 @@ def residue_in(text: str, field: np.ndarray, passage: np.ndarray) -> bool:
     """Whether a text holds residue."""
     bare = _QUOTED.sub(lambda m: " " * len(m.group()), text)
     g = ngrams(symbols(bare))
-    for a, b, gain in stretches(field[g], LEAST_FIELD):
+    for a, b, gain in stretches(score(field, g), LEAST_FIELD):
         if _is_field(bare, a, b, gain):
             return True
-    p = passage[g]
+    p = score(passage, g)
     for a, b, _ in stretches(p, LEAST):
         start, end = text.rfind("\n", 0, a + 1) + 1, text.find("\n", b)
         end = len(text) if end < 0 else end
@@ -169,7 +179,7 @@ def _holds(text: str, field: np.ndarray, passage: np.ndarray) -> bool:
     """residue_in, after a cheaper test that most texts fail."""
     g = ngrams(symbols(text))
     for llr, least in ((field, LEAST_FIELD), (passage, LEAST)):
-        c = np.cumsum(llr[g] - COST)
+        c = np.cumsum(score(llr, g) - COST)
         if (c - np.minimum.accumulate(np.minimum(c, 0))).max() >= least:
             return residue_in(text, field, passage)
     return False
