@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg
+from ..session import union_all
 from .panel import SEPARATOR, Panel, moments
 
 #: Difference of the normal distribution's quartiles.
@@ -79,6 +84,38 @@ def bayesian_bootstrap(panel: Panel, name: str, n: int = 100, seed: int = 0) ->
     return intervals(points, sims, panel.units.count())
 
 
+class DataGeneratingProcess(ABC):
+    """What replicates are drawn from."""
+
+    @abstractmethod
+    def draw(self, b: int) -> Panel:
+        """Replicate b, the same whenever it is drawn."""
+
+
+@dataclass(frozen=True)
+class BayesianBootstrap(DataGeneratingProcess):
+    """A panel under new weights of its units."""
+
+    panel: Panel
+    replicates: int
+    seed: int = 0
+
+    def draw(self, b: int) -> Panel:
+        return self.panel.reweighted(bayesian_weights(self.panel, self.replicates, self.seed).where(F.col("b") == b))
+
+
+def simulate(process: DataGeneratingProcess, by_name: dict[str, Callable[[Panel], DataFrame]], n: int) -> DataFrame:
+    """b, est_name, parameter, sim_estimate for estimators of one's own, each from a panel to parameter, estimate.
+
+    One plan a replicate and estimator: means() does the built-in ones for all replicates at once.
+    """
+    parts = []
+    for b in range(1, n + 1):
+        drawn = process.draw(b)
+        parts += [f(drawn).select(F.lit(b).cast("bigint").alias("b"), F.lit(name).alias("est_name"), "parameter", F.col("estimate").alias("sim_estimate")) for name, f in by_name.items()]
+    return union_all(parts)
+
+
 def _identified(sets: list[frozenset[str]], r: int) -> set[str]:
     """Outcomes of the component of overlapping sets with the most sets; ties by the least joined name."""
     sets = sorted(set(sets), key=lambda s: SEPARATOR.join(sorted(s)))

@@ -56,6 +56,20 @@ def not_reached_in_two_steps(outcomes: DataFrame) -> DataFrame:
     return every.join(known, ["cohort_key", "outcome"], "left_anti")
 
 
+def highlighted_cells(rectangles: DataFrame, missing: DataFrame, cohort_key: str) -> DataFrame:
+    """The rectangles, and with the same unit ids the cells that cohort_key misses; cell_kind 'observed' or 'missing'."""
+    ids = rectangles.where(F.col("cohort_key") == cohort_key).select("cohort_key", "unit_id_min", "unit_id_max").distinct()
+    gone = missing.where(F.col("cohort_key") == cohort_key).join(ids, "cohort_key").withColumn("cell_kind", F.lit("missing"))
+    return rectangles.withColumn("cell_kind", F.lit("observed")).unionByName(gone, allowMissingColumns=True)
+
+
+def spell_panel(spells: DataFrame, least: int) -> DataFrame:
+    """rider_id, week, cohort for the spells of cohorts with that many riders at least."""
+    rows = spells.dropna("any").distinct()
+    kept = spell_cohorts(spells, least).select(F.col("first_week").alias("first_week_id"), F.col("last_week").alias("treatment_week_id"), "cohort")
+    return rows.join(kept, ["first_week_id", "treatment_week_id"]).select("rider_id", "cohort", F.explode(F.sequence("first_week_id", "treatment_week_id")).alias("week"))
+
+
 def spell_cohorts(spells: DataFrame, least: int) -> DataFrame:
     """first_week, last_week, cohort, n_riders of spells between the same weeks with that many riders at least. Spells with a null
     week drop out, repeated rows count once; weeks are padded to two digits and never cut."""

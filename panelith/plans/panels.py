@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, estimators, graph, panel, prep, reports
+from ..operators import clusters, coverage, estimators, graph, panel, prep, reports
 from ..operators.panel import Panel
-from ..session import table
+from ..session import cut, table
 from ..sources import tables
 
 FIRST, LAST, BIN = 1990, 2001, 4
@@ -86,32 +86,17 @@ def groups_observed_hist(spark: SparkSession, d: str) -> DataFrame:
     return _cells(spark, d).groupBy("unit").agg(F.count(F.lit(1)).alias("n_outcomes")).groupBy("n_outcomes").agg(F.count(F.lit(1)).alias("n_units"))
 
 
-def _in_panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Cells of workers with whether they are in the panel, and the outcomes identified there at rank 1."""
-    cells = _cells(spark, d)
-    p = panel.build(cells, MIN_OUTCOMES, 5)
-    known = graph.identified_outcomes(graph.cohort_outcomes(p), 1).withColumn("identified", F.lit(True))
-    return cells.join(p.units.select("unit", F.lit(True).alias("in_panel")), "unit", "left"), known
+GRID = [(MIN_OUTCOMES, 5, 1), (MIN_OUTCOMES, 5, 2), (MIN_OUTCOMES, 10, 1)]
 
 
 def panel_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
-    cells, known = _in_panel(spark, d)
-    n = cells.groupBy("outcome").agg(F.count(F.lit(1)).alias("num_workers"), F.count_if(F.coalesce("in_panel", F.lit(False))).alias("num_workers_panel"))
-    n = n.join(known, "outcome", "left").withColumn("identified", F.coalesce("identified", F.lit(False))).withColumn("year_cluster", F.split("outcome", "_")[2].cast("bigint"))
-    whole = panel_window()
-    return n.select("year_cluster", "outcome", "num_workers", "num_workers_panel", "identified", F.round(F.col("num_workers_panel") / F.sum("num_workers").over(whole), 6).alias("share_workers"), F.round(F.try_divide(F.col("num_workers_panel").cast("double"), F.sum("num_workers_panel").over(whole).cast("double")), 6).alias("share_workers_panel"))
-
-
-def panel_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("year_cluster")
+    out = coverage.over_grid(cut(_cells(spark, d)), GRID)
+    return out.select(*out.columns[:-2], *_r("share_workers", "share_workers_panel"))
 
 
 def panel_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel_cluster_sizes(spark, d).where("identified").groupBy("year_cluster").agg(F.sum("share_workers").alias("s"), F.sum("num_workers").alias("w"), F.sum("num_workers_panel").alias("p"), F.count(F.lit(1)).alias("g"))
-    both = lambda c, n: [F.round(F.min(c), 6).alias(f"min_{n}"), F.round(F.max(c), 6).alias(f"max_{n}")]
-    return rows.agg(*both("s", "share_workers"), *both("w", "num_workers"), *both("p", "num_workers_panel"), *both("g", "num_groups"))
+    out = coverage.summary(coverage.over_grid(cut(_cells(spark, d)), GRID))
+    return out.select(*[F.round(c, 6).alias(c) if "share" in c else c for c in out.columns])
 
 
 def unit_cohorts(spark: SparkSession, d: str) -> DataFrame:
@@ -332,6 +317,18 @@ def rider_panel_expand(spark: SparkSession, d: str) -> DataFrame:
     return reports.spell_weeks(table(spark, d, "rider_spells"))
 
 
+def rider_panel_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.spell_panel(table(spark, d, "rider_spells"), 2)
+
+
+def highlighted_missing_cells(spark: SparkSession, d: str) -> DataFrame:
+    p = _years(spark, d)
+    every = reports.cohort_rectangles(p)
+    first = every.orderBy("unit_id_min", "cohort_key").first()
+    missing = p.data.select("outcome").distinct().join(every.where(F.col("cohort_key") == (first[0] if first else "")).select("outcome"), "outcome", "left_anti").withColumn("cohort_key", F.lit(first[0] if first else ""))
+    return reports.highlighted_cells(every, missing, first[0] if first else "")
+
+
 def rider_cohorts(spark: SparkSession, d: str) -> DataFrame:
     return reports.spell_cohorts(table(spark, d, "rider_spells"), 2).select("cohort", "n_riders")
 
@@ -345,7 +342,7 @@ QUERIES = {f.__name__: f for f in (
     unit_weights_default, panel_reweighted, panel_identified, panel_left_out, cohort_outcome_means, cohort_weighted_means, cohort_demeaned, cohort_moments, overlap_edges_r1, overlap_edges_r2, overlap_components, identified_outcomes_r1,
     identified_outcomes_r2, outcome_hop_distances, wage_quantile_grid, group_wage_cdf, wage_cdf_wide, firm_clusters, cohort_spectra, spectra_trace, twfe_means, twfe_resid_apm, apm_rank1_means, bayes_weights, bootstrap_obs_means,
     bootstrap_ci, sup_t_band, bootstrap_twfe_ci, loo_candidates, loo_sim_ests, err_stats, err_stats_vs_baseline, err_stat_summaries, rel_err_cdf, cohort_rectangles, eigengap_dist, hop_reach_dist, overlap_graph_edges,
-    block_missing_nonid, rider_panel_expand, rider_cohorts, rider_overlap_edges)}
+    block_missing_nonid, rider_panel_expand, rider_panel_cohorts, highlighted_missing_cells, rider_cohorts, rider_overlap_edges)}
 
 _PROV = ", ".join(f"'{p}'" for p in tables.PROVINCES)
 _MATCH = f"""f AS (SELECT matr_az AS firm, nullif(arg_max(p, (loaded_at, p, coalesce(cap, -1))), '') AS province FROM (SELECT matr_az, cap, coalesce(upper(trim(prov)), '') AS p, loaded_at FROM firms WHERE matr_az IS NOT NULL) GROUP BY 1),
@@ -401,12 +398,16 @@ _HOPS = _YEARS + ", " + _edges(1) + """, be AS (SELECT src, dst FROM ed UNION AL
 sh AS (SELECT src, node, min(k) AS k FROM wk GROUP BY 1, 2), hd AS (SELECT c.cohort_key, oo.outcome, (SELECT min(k) FROM sh JOIN co ON co.cohort_key = sh.node WHERE sh.src = c.cohort_key AND co.outcome = oo.outcome) AS distance FROM c, (SELECT DISTINCT outcome FROM co) oo)"""
 _WAGES = _MATCH + ", w AS (SELECT worker, firm, province, CAST(sum(CAST(earnings AS DECIMAL(28,4))) AS DOUBLE) / sum(paid_weeks) AS x FROM m WHERE worker IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = count(earnings)), g AS (SELECT i AS grid_idx, (SELECT quantile_cont(x, [" + ", ".join(map(repr, clusters.GRID)) + "]) FROM w)[i + 1] AS q FROM range(100) t(i))"
 _CDF = _WAGES + ", cdf AS (SELECT province, grid_idx, count(*) AS num_workers, avg(CASE WHEN x <= q THEN 1.0 ELSE 0.0 END) AS cdf FROM w, g GROUP BY 1, 2)"
-_SIZES = _CELLS + ", " + _cohorts(5) + ", " + _edges(1) + """, be AS (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed), re AS (SELECT cohort_key AS src, cohort_key AS node FROM c UNION SELECT re.src, be.dst FROM re JOIN be ON be.src = re.node),
+def _sizes(least: int, r: int) -> str:
+    return f"""WITH RECURSIVE {_CELLS}, {_cohorts(least)}, {_edges(r)}, be AS (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed), re AS (SELECT cohort_key AS src, cohort_key AS node FROM c UNION SELECT re.src, be.dst FROM re JOIN be ON be.src = re.node),
 pa AS (SELECT src AS cohort_key, min(node) AS component FROM re GROUP BY 1), bp AS (SELECT component FROM pa GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1),
 idn AS (SELECT DISTINCT outcome FROM co JOIN pa ON pa.cohort_key = co.cohort_key WHERE component = (SELECT component FROM bp)),
-sz AS (SELECT cells.outcome, count(*) AS num_workers, count(units.unit) AS num_workers_panel, CAST(split_part(cells.outcome, '_', 3) AS BIGINT) AS year_cluster FROM cells LEFT JOIN units ON units.unit = cells.unit GROUP BY 1),
-ps AS (SELECT year_cluster, outcome, num_workers, num_workers_panel, outcome IN (SELECT outcome FROM idn) AS identified, round(num_workers_panel / sum(num_workers) OVER (PARTITION BY year_cluster), 6) AS share_workers,
- round(num_workers_panel / nullif(CAST(sum(num_workers_panel) OVER (PARTITION BY year_cluster) AS DOUBLE), 0), 6) AS share_workers_panel FROM sz)"""
+sz AS (SELECT cells.outcome, count(*) AS num_workers, count(units.unit) AS num_workers_panel, CAST(split_part(cells.outcome, '_', 3) AS BIGINT) AS year_cluster FROM cells LEFT JOIN units ON units.unit = cells.unit GROUP BY 1)
+SELECT CAST({MIN_OUTCOMES} AS BIGINT) AS min_outcomes, CAST({least} AS BIGINT) AS min_units, CAST({r} AS BIGINT) AS rank, year_cluster, outcome, num_workers, num_workers_panel, outcome IN (SELECT outcome FROM idn) AS identified,
+ num_workers_panel / CAST(sum(num_workers) OVER (PARTITION BY year_cluster) AS DOUBLE) AS share_workers, num_workers_panel / nullif(CAST(sum(num_workers_panel) OVER (PARTITION BY year_cluster) AS DOUBLE), 0) AS share_workers_panel FROM sz"""
+
+
+_SIZES = " UNION ALL ".join(f"SELECT * FROM ({_sizes(least, r)})" for _, least, r in GRID)
 _SPELLS = "s AS (SELECT DISTINCT rider_id, first_week_id AS f, treatment_week_id AS l FROM rider_spells WHERE rider_id IS NOT NULL AND first_week_id IS NOT NULL AND treatment_week_id IS NOT NULL), k AS (SELECT f, l, count(*) AS n_riders, CASE WHEN length(f::VARCHAR) >= 2 THEN f::VARCHAR ELSE lpad(f::VARCHAR, 2, '0') END || ' - ' || CASE WHEN length(l::VARCHAR) >= 2 THEN l::VARCHAR ELSE lpad(l::VARCHAR, 2, '0') END AS cohort FROM s GROUP BY f, l HAVING count(*) >= 2)"
 _MEAN = "SELECT cohort_key, outcome, round(%s, 6) AS outcome_mean FROM d GROUP BY 1, 2"
 
@@ -421,9 +422,9 @@ SELECT worker, firm, year_cluster, count(*) AS n_records FROM b WHERE firm IN (S
     "log_earnings": f"WITH {_CELLS} SELECT unit, outcome, round(value, 6) AS value FROM cells",
     "worker_cohort_sizes": f"WITH {_CELLS}, {_cohorts(5)} SELECT cohort_key, n AS n_units FROM c",
     "groups_observed_hist": f"WITH {_CELLS} SELECT n_outcomes, count(*) AS n_units FROM (SELECT unit, count(*) AS n_outcomes FROM cells GROUP BY 1) GROUP BY 1",
-    "panel_cluster_sizes": f"WITH RECURSIVE {_SIZES} SELECT * FROM ps",
-    "panel_coverage": f"""WITH RECURSIVE {_SIZES}, y AS (SELECT year_cluster, sum(share_workers) AS s, CAST(sum(num_workers) AS BIGINT) AS w, CAST(sum(num_workers_panel) AS BIGINT) AS p, count(*) AS g FROM ps WHERE identified GROUP BY 1)
-SELECT round(min(s), 6) AS min_share_workers, round(max(s), 6) AS max_share_workers, min(w) AS min_num_workers, max(w) AS max_num_workers, min(p) AS min_num_workers_panel, max(p) AS max_num_workers_panel, min(g) AS min_num_groups, max(g) AS max_num_groups FROM y""",
+    "panel_cluster_sizes": f"SELECT * REPLACE (round(share_workers, 6) AS share_workers, round(share_workers_panel, 6) AS share_workers_panel) FROM ({_SIZES})",
+    "panel_coverage": f"""WITH y AS (SELECT min_outcomes, min_units, rank, year_cluster, sum(share_workers) AS s, CAST(sum(num_workers) AS BIGINT) AS w, CAST(sum(num_workers_panel) AS BIGINT) AS p, count(*) AS g FROM ({_SIZES}) WHERE identified GROUP BY ALL)
+SELECT min_outcomes, min_units, rank, round(min(s), 6) AS min_share_workers, round(max(s), 6) AS max_share_workers, min(w) AS min_num_workers, max(w) AS max_num_workers, min(p) AS min_num_workers_panel, max(p) AS max_num_workers_panel, min(g) AS min_num_groups, max(g) AS max_num_groups FROM y GROUP BY 1, 2, 3""",
     "unit_cohorts": f"WITH {_FLAG} SELECT unit, cohort_key FROM units",
     "cohort_sizes": f"WITH {_FLAG} SELECT cohort_key, n AS n_units FROM c",
     "panel_build": f"WITH {_FLAG} SELECT unit, outcome, cohort_key, round(value, 6) AS value FROM d",
@@ -445,6 +446,9 @@ SELECT round(min(s), 6) AS min_share_workers, round(max(s), 6) AS max_share_work
     "group_wage_cdf": f"WITH {_CDF} SELECT province, grid_idx, num_workers, round(cdf, 6) AS cdf FROM cdf",
     "wage_cdf_wide": f"WITH {_CDF} SELECT province, num_workers, " + ", ".join(f"coalesce(max(CASE WHEN grid_idx = {k} THEN round(cdf, 6) END), 0) AS q{k}" for k in (0, 24, 49, 74, 99)) + " FROM cdf GROUP BY 1, 2",
     "spectra_trace": f"WITH {_FLAG} SELECT cohort_key, n AS cohort_size, round(sum(value * value) / n, 5) AS trace FROM d GROUP BY 1, 2",
+    "twfe_means": f"""WITH RECURSIVE {_FLAG}, mo AS (SELECT cohort_key, outcome, min(n) AS n, avg(value) AS m FROM d GROUP BY 1, 2), os AS (SELECT DISTINCT outcome FROM mo),
+it AS (SELECT 0 AS k, outcome, CAST(0 AS DOUBLE) AS e FROM os UNION ALL SELECT k + 1, outcome, e FROM (SELECT x.k, mo.outcome, sum(mo.n * (mo.m - x.a)) / sum(mo.n) AS e FROM mo JOIN (SELECT it.k, y.cohort_key, avg(y.m - it.e) AS a FROM it JOIN mo y ON y.outcome = it.outcome GROUP BY 1, 2) x ON x.cohort_key = mo.cohort_key GROUP BY 1, 2) WHERE k < 300),
+la AS (SELECT outcome, e FROM it WHERE k = 300), fe AS (SELECT cohort_key, avg(m - e) AS a FROM mo JOIN la ON la.outcome = mo.outcome GROUP BY 1) SELECT cohort_key, la.outcome, round(a + e, 6) AS outcome_mean FROM fe, la""",
     "bayes_weights": f"WITH {_FLAG}, {_DIGITS % 4} SELECT unit, b, round(bw * 1e6, 6) AS weight FROM bw",
     "bootstrap_obs_means": f"WITH {_BOOT} SELECT b, cohort_key, outcome, round(v, 6) AS outcome_mean FROM sims",
     "bootstrap_ci": f"WITH {_CI} SELECT parameter, round(o, 5) AS point_est, round(o - crit * sigma / rn, 5) AS ci_lower, round(o + crit * sigma / rn, 5) AS ci_upper, round(sigma, 5) AS sigma, round(crit, 5) AS crit_val FROM cr",
@@ -466,6 +470,10 @@ SELECT CAST(hops AS BIGINT) AS hops, cohort_key, reached, round(row_number() OVE
 e AS (SELECT DISTINCT x.cohort_key AS l, y.cohort_key AS r FROM co x JOIN co y ON y.outcome = x.outcome AND x.cohort_key <> y.cohort_key), one AS (SELECT l AS cohort_key, outcome FROM e JOIN co ON co.cohort_key = r), two AS (SELECT l AS cohort_key, outcome FROM e JOIN one ON one.cohort_key = r)
 SELECT c.cohort_key, o.outcome FROM (SELECT DISTINCT cohort_key FROM co) c, (SELECT DISTINCT outcome FROM co) o EXCEPT (SELECT * FROM co UNION SELECT * FROM one UNION SELECT * FROM two)""",
     "rider_panel_expand": f"WITH {_SPELLS} SELECT rider_id, unnest(CASE WHEN f <= l THEN range(f, l + 1) ELSE range(f, l - 1, -1) END) AS week FROM s",
+    "rider_panel_cohorts": f"WITH {_SPELLS} SELECT rider_id, cohort, unnest(CASE WHEN s.f <= s.l THEN range(s.f, s.l + 1) ELSE range(s.f, s.l - 1, -1) END) AS week FROM s JOIN k ON k.f = s.f AND k.l = s.l",
+    "highlighted_missing_cells": f"""WITH {_YEARS}, r AS (SELECT cohort_key, n, CAST(sum(n) OVER (ORDER BY n DESC, cohort_key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS z FROM c), f AS (SELECT * FROM r ORDER BY z LIMIT 1)
+SELECT r.cohort_key, co.outcome, z - n + 1 AS unit_id_min, z AS unit_id_max, 'observed' AS cell_kind FROM r JOIN co ON co.cohort_key = r.cohort_key
+UNION ALL SELECT f.cohort_key, o.outcome, z - n + 1, z, 'missing' FROM f, (SELECT DISTINCT outcome FROM co) o WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.cohort_key = f.cohort_key AND co.outcome = o.outcome)""",
     "rider_cohorts": f"WITH {_SPELLS} SELECT cohort, n_riders FROM k",
     "rider_overlap_edges": f"WITH {_SPELLS} SELECT x.cohort AS cohort_l, y.cohort AS cohort_r, least(x.l, y.l) - greatest(x.f, y.f) AS weeks_overlapping FROM k x JOIN k y ON x.f < y.l AND x.l > y.f WHERE x.f < x.l AND y.f < y.l",
 }
