@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .heavy import skew_join
 
 #: Bits of the filter for one key, and the most for all: 8 MB. Beyond that more references are verified, none is lost.
@@ -77,7 +78,7 @@ def orphans(children: DataFrame, key: str, at: str, parents: DataFrame, parent_k
     """
     refs = children.where(F.col(key).isNotNull())
     words, bits = bloom_filter(parents.select(parent_key), parent_key)
-    maybe = might_contain(words.scalar(), F.col(key), bits)
+    maybe = might_contain(cut(words).scalar(), F.col(key), bits)
     valid = validity(parents, parent_key, start, end).withColumnsRenamed({"valid_from": "_from", "valid_until": "_until"})
     t = F.col(at).cast("timestamp_ntz")
     within = (F.col("_from") <= t) & (F.col("_until").isNull() | (F.col("_until") > t))
