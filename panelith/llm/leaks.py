@@ -29,6 +29,8 @@ COVER = 0.38
 SPAN, FOUND, FOUND_NEAR, NEAR = 25, 0.9, 0.84, 0.6
 #: Words of the document about a window that are aligned.
 AROUND = 40
+#: Windows of a document that are compared at a time.
+GROUP = 64
 #: The items are a query set of bounded size: more words than this in all are refused.
 MAX_WORDS = 2_000_000
 
@@ -111,13 +113,15 @@ def term_weights(encoded: DataFrame, items: Items) -> tuple[np.ndarray, float, n
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(nt + 1 + nw, np.int64), 0
         for b in batches:
-            for ids in _docs(b, nw - 1):
-                if not ids.size:
-                    continue
-                n += -(-ids.size // WINDOW)
-                for x, low, width in ((items.term(grams(ids)), 0, nt + 1), (ids, nt + 1, nw)):
-                    u = np.unique(np.arange(x.size) // WINDOW * width + x) % width
-                    df += np.bincount(u + low, minlength=df.size)
+            docs = [ids for ids in _docs(b, nw - 1) if ids.size]
+            for i in range(0, len(docs), 256):
+                some = docs[i : i + 256]
+                for x, low, width in ((some, nt + 1, nw), ([items.term(grams(ids)) for ids in some], 0, nt + 1)):
+                    sizes = np.array([-(-v.size // WINDOW) for v in x])
+                    first = np.cumsum(sizes) - sizes
+                    codes = np.concatenate([(np.arange(v.size) // WINDOW + f) * width + v for v, f in zip(x, first.tolist(), strict=True)])
+                    df += np.bincount(np.unique(codes) % width + low, minlength=df.size)
+                    n += int(sizes.sum()) if low else 0
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"k": pa.array([*k, -1], pa.int32()), "n": pa.array([*df[k], n], pa.int64())})
 
@@ -236,12 +240,18 @@ class Search:
     unseen: float
     weight: np.ndarray
     space: np.ndarray
-    texts: np.ndarray = None
-    norms: np.ndarray = None
+    #: What a term adds to a window's cosines with all texts; with very many texts, to its latent vector instead.
+    adds: np.ndarray = None
+    texts: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        self.norms = np.array([np.sqrt(((n * self.idf[t]) ** 2).sum()) for t, n in (np.unique(r, return_counts=True) for r in self.items.rows)])
-        self.texts = np.array([(self.idf[r][:, None] * self.space[r]).sum(0) for r in self.items.rows], dtype=np.float32)
+        texts = np.array([self.idf[r] @ self.space[r] for r in self.items.rows], dtype=np.float32)
+        self.adds = self.idf[:, None].astype(np.float32) * self.space
+        self.space = None
+        if len(texts) <= 2 * self.adds.shape[1]:
+            self.adds = self.adds @ texts.T
+        else:
+            self.texts = texts
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(first word, text, cosine by the best attainable) for windows of one document."""
@@ -259,10 +269,22 @@ class Search:
         start, end, energy = start[keep], end[keep], energy[keep]
         if not start.size:
             return
-        x = np.array([self.idf[t[a:b]] @ self.space[t[a:b]] for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.float32)
-        cover = (x @ self.texts.T) / energy[:, None]
-        for i, k in zip(*np.nonzero(cover >= COVER), strict=True):
-            yield int(start[i]), int(k), float(cover[i, k])
+        for i in range(0, start.size, GROUP):
+            a, b = start[i : i + GROUP], end[i : i + GROUP]
+            # every known term of these windows is fetched once, into memory that stays; the windows add them up
+            at = np.unique((a[:, None] + np.arange(size)).ravel())
+            at = at[(at < t.size) & (at < b[-1])]
+            at = at[t[at] < self.idf.size - 1]
+            rows = np.take(self.adds, t[at], axis=0, out=self._room()[: at.size], mode="clip")
+            x = ((at >= a[:, None]) & (at < b[:, None])).astype(np.float32) @ rows
+            cover = (x if self.texts is None else x @ self.texts.T) / energy[i : i + GROUP, None]
+            for j, k in zip(*np.nonzero(cover >= COVER), strict=True):
+                yield int(a[j]), int(k), float(cover[j, k])
+
+    def _room(self) -> np.ndarray:
+        if getattr(self, "_buffer", None) is None:
+            self._buffer = np.empty((GROUP * (WINDOW - GRAM + 1), self.adds.shape[1]), np.float32)
+        return self._buffer
 
     def found(self, ids: np.ndarray) -> dict[int, float]:
         """Best share by text, of the texts that the document gives away."""
