@@ -40,6 +40,15 @@ def distribution_vectors(distributions: DataFrame, group: list[str]) -> DataFram
     return pairs.select(*group, "num_workers", F.transform("x", lambda p: p["cdf"]).alias("cdf"))
 
 
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("cdf").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared, of each row of x to each row of c."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1), 0)
+
+
 def cluster(vectors: DataFrame, within: str | None, k: int, restarts: int = RESTARTS) -> DataFrame:
     """vectors(..., num_workers, cdf) with cluster 1..k, ordered by the clusters' mean distribution from the highest pay on: weighted
     k-means within each value of within, or over all.
@@ -70,17 +79,18 @@ def cluster(vectors: DataFrame, within: str | None, k: int, restarts: int = REST
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, tuple] = {}
             for b in batches:
-                ws, n = np.array(b.column("_w").to_pylist()), b.column("num_workers").to_numpy().astype(float)
-                x = np.array(b.column("cdf").to_pylist())
+                ws, n, x = np.array(b.column("_w").to_pylist()), b.column("num_workers").to_numpy().astype(float), _matrix(b)
                 for w in np.unique(ws).tolist():
                     c, at = held[w], ws == w
                     xs, ns = x[at], n[at]
                     s, m, cost = total.setdefault(w, (np.zeros(c.shape), np.zeros(c.shape[:2]), np.zeros(c.shape[0])))
                     for i in range(c.shape[0]):
-                        d = ((xs[:, None] - c[i][None]) ** 2).sum(2)
+                        d = _distances(xs, c[i])
                         own = d.argmin(1)
-                        np.add.at(s[i], own, xs * ns[:, None])
-                        np.add.at(m[i], own, ns)
+                        weights = np.zeros((c.shape[1], len(xs)))
+                        weights[own, np.arange(len(xs))] = ns
+                        s[i] += weights @ xs
+                        m[i] += weights.sum(1)
                         cost[i] += (d.min(1) * ns).sum()
             yield pa.RecordBatch.from_pydict({"_w": pa.array(list(total), pa.string()), "x": pa.array([np.concatenate([a.ravel(), b.ravel(), c]).tobytes() for a, b, c in total.values()], pa.binary())})
 
@@ -110,7 +120,10 @@ def cluster(vectors: DataFrame, within: str | None, k: int, restarts: int = REST
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [int(((best[w] - np.array(x)) ** 2).sum(1).argmin()) + 1 for w, x in zip(b.column("_w").to_pylist(), b.column("cdf").to_pylist(), strict=True)]
+            ws, x = np.array(b.column("_w").to_pylist()), _matrix(b)
+            own = np.zeros(len(ws), np.int64)
+            for w in np.unique(ws).tolist():
+                own[ws == w] = _distances(x[ws == w], best[w]).argmin(1) + 1
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(own, pa.int64())], [*names, "cluster"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
