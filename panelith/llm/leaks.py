@@ -3,7 +3,8 @@
 Terms are the word trigrams of the test items, weighted by their IDF over all passages (blocks of WINDOW words) of the
 corpus. A distributed randomised SVD of the items' TF-IDF passages gives a latent space; windows of every document are
 compared by cosine with every passage and prompt there. The items are a stated query set of bounded size that every task
-holds. Pairs above COVER are aligned by longest common subsequence of words; a case needs SPAN words of the item found in
+holds. No weight there lies below FLOOR of the greatest, and none grows beyond CAP, so that neither the size of the corpus nor
+the number of copies in it decides what is compared. Pairs above COVER are aligned by longest common subsequence of words; a case needs SPAN words of the item found in
 order, by weight, so that stock phrases with other content between them don't count.
 """
 
@@ -25,6 +26,9 @@ GRAM, WINDOW, STEP = 3, 24, 8
 RANK, POWER, SEED = 512, 1, 11
 #: Least cosine of a window and a text, as a share of the cosine that a window copied from the text would have.
 COVER = 0.38
+#: Greatest IDF that counts, also for words that no item has; the least weight of an item's term in COVER as a share of it. 12 of a window's
+#: 22 terms reach COVER at the least weight: a copy of SPAN words with two of them changed, where STEP cuts it worst.
+CAP, FLOOR = 9.0, 0.75
 #: Consecutive words of an item that make a case; the share of their weight found in order: alone, and for pairs with a high cosine.
 SPAN, FOUND, FOUND_NEAR, NEAR = 25, 0.9, 0.84, 0.6
 #: Words of the document about a window that are aligned.
@@ -107,7 +111,7 @@ def _docs(batch: pa.RecordBatch, voc: int) -> list[np.ndarray]:
 
 
 def term_weights(encoded: DataFrame, items: Items) -> tuple[np.ndarray, float, np.ndarray]:
-    """IDF of each term (and last 0, for none), that of an unseen term, and IDF of each word, over all passages of the corpus."""
+    """IDF of each term (and last 0, for none) as a share of CAP, 1 at most; that of an unseen term; and IDF of each word, over all passages of the corpus."""
     nt, nw = items.terms.size, len(items.vocabulary) + 1
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,12 @@ def term_weights(encoded: DataFrame, items: Items) -> tuple[np.ndarray, float, n
             df[r["k"]] = r["n"]
     idf = np.log((2 + n) / (1 + df))
     idf[nt] = idf[nt + 1] = 0
-    return idf[: nt + 1], float(np.log(2 + n)), idf[nt + 1 :]
+    return np.minimum(idf[: nt + 1] / min(CAP, np.log(2 + n)), 1) if n else idf[: nt + 1], 1.0, idf[nt + 1 :]
+
+
+def gate(idf: np.ndarray) -> np.ndarray:
+    """Weights of the terms for COVER: at least FLOOR, but for the last, which is none."""
+    return np.r_[np.maximum(idf[:-1], FLOOR), 0.0]
 
 
 def _tf_idf(rows: list[np.ndarray], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,7 +158,7 @@ def _tf_idf(rows: list[np.ndarray], idf: np.ndarray) -> list[tuple[np.ndarray, n
 def latent_space(spark, items: Items, idf: np.ndarray) -> np.ndarray:
     """(terms + 1, rank) orthonormal basis by randomised SVD; each pass adds A'AQ up over the partitions of the passages."""
     nt = items.terms.size
-    texts = _tf_idf(items.rows, idf)
+    texts = _tf_idf(items.rows, gate(idf))
     rank = min(RANK, len(texts), nt)
     width = min(rank + 8, len(texts), nt)
     passages = spark.createDataFrame(pd.DataFrame({"text": range(len(texts))})).repartition(4)
@@ -243,15 +252,27 @@ class Search:
     #: What a term adds to a window's cosines with all texts; with very many texts, to its latent vector instead.
     adds: np.ndarray = None
     texts: np.ndarray | None = None
+    #: All texts' words one after another; where each begins; how many words are to be found at once; the weight of that many from each word on.
+    flat: np.ndarray = None
+    first: np.ndarray = None
+    span: np.ndarray = None
+    full: np.ndarray = None
 
     def __post_init__(self) -> None:
-        texts = np.array([self.idf[r] @ self.space[r] for r in self.items.rows], dtype=np.float32)
-        self.adds = self.idf[:, None].astype(np.float32) * self.space
+        self.gate = gate(self.idf)
+        # a term counts once for a text, else a phrase that the text repeats would make up for terms that are missing
+        texts = np.array([self.gate[r] @ self.space[r] for r in map(np.unique, self.items.rows)], dtype=np.float32)
+        self.adds = self.gate[:, None].astype(np.float32) * self.space
         self.space = None
         if len(texts) <= 2 * self.adds.shape[1]:
             self.adds = self.adds @ texts.T
         else:
             self.texts = texts
+        self.size = np.array([x.size for x in self.items.ids])
+        self.flat, self.first, self.span = np.concatenate(self.items.ids), np.cumsum(self.size) - self.size, np.minimum(SPAN, self.size)
+        self.full = np.full(self.flat.size, np.inf)
+        for x, a, k in zip(self.items.ids, self.first.tolist(), self.span.tolist(), strict=True):
+            self.full[a : a + x.size - k + 1] = np.maximum(np.convolve(self.weight[x], np.ones(k), "valid"), 1e-9)
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(first word, text, cosine by the best attainable) for windows of one document."""
@@ -259,7 +280,7 @@ class Search:
         t = self.items.term(grams(ids))
         if not t.size:
             return
-        known = self.idf[t] ** 2
+        known = self.gate[t] ** 2
         all_of = np.r_[0, np.cumsum(np.where(t < self.idf.size - 1, known, self.unseen**2))]
         known = np.r_[0, np.cumsum(known)]
         start = np.r_[np.arange(0, max(1, t.size - size + 1), STEP), max(0, t.size - size)]
@@ -286,13 +307,39 @@ class Search:
             self._buffer = np.empty((GROUP * (WINDOW - GRAM + 1), self.adds.shape[1]), np.float32)
         return self._buffer
 
+    def most(self, texts: np.ndarray, which: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+        """What span_found cannot exceed for each of texts and docs[which]: the share of words that the document has at all, in any order."""
+        n = self.size[texts]
+        start = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(self.first[texts] - start, n)
+        has = np.zeros((len(docs), self.weight.size))
+        for i, x in enumerate(docs):
+            has[i, x] = self.weight[x]
+        c = np.zeros(at.size + 1)
+        np.cumsum(has.ravel()[self.flat[at] + np.repeat(which * self.weight.size, n)], out=c[1:])
+        end = np.minimum(np.arange(at.size) + np.repeat(self.span[texts], n), at.size)
+        return np.maximum.reduceat((c[end] - c[:-1]) / self.full[at], start)
+
+    def near(self, ids: np.ndarray, k: int) -> float:
+        """Cosine of a window and a text as in COVER, but exact and by IDF, so that frequent terms count little."""
+        t = self.items.term(grams(ids))
+        of = np.isin(t, self.items.rows[k]) & (t < self.idf.size - 1)
+        own = float((self.idf[t[of]] ** 2).sum())
+        return own / max(own + self.unseen**2 * float((~of).sum()), 1e-9)
+
     def found(self, ids: np.ndarray) -> dict[int, float]:
         """Best share by text, of the texts that the document gives away."""
         best: dict[int, float] = {}
-        for at, k, cover in sorted(self.candidates(ids), key=lambda c: -c[2]):
+        some, worth = list(self.candidates(ids)), []
+        for i in range(0, len(some), GROUP):
+            part = some[i : i + GROUP]
+            windows, which = np.unique([at for at, _, _ in part], return_inverse=True)
+            most = self.most(np.array([k for _, k, _ in part]), which, [ids[max(0, at - AROUND) : at + WINDOW + AROUND] for at in windows.tolist()])
+            worth += [c for c, m in zip(part, most.tolist(), strict=True) if m >= FOUND_NEAR - 1e-9]
+        for at, k, _ in sorted(worth, key=lambda c: -c[2]):
             if k not in best:
                 share = span_found(self.items.ids[k], ids[max(0, at - AROUND) : at + WINDOW + AROUND], self.weight)
-                if share >= FOUND or cover >= NEAR and share >= FOUND_NEAR:
+                if share >= FOUND or share >= FOUND_NEAR and self.near(ids[at : at + WINDOW], k) >= NEAR:
                     best[k] = share
         return best
 

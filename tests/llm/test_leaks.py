@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from panelith.llm import leaks
 
@@ -99,3 +100,46 @@ def test_too_many_items_are_refused(spark, world, monkeypatch):
     monkeypatch.setattr(leaks, "MAX_WORDS", 10)
     with pytest.raises(ValueError):
         leaks.leaks(spark.createDataFrame(world[1], SCHEMA), spark.createDataFrame(world[0], ITEM))
+
+
+def _grown(world, times):
+    """The weights of the world's items in a corpus of that many passages in which a hundredth hold each term."""
+    own = leaks.Items.of([dict(zip(("item_id", "prompt", "passage", "answer"), i[:4], strict=True)) for i in world[0]])
+    return own, 1000 * times, 10 * times
+
+
+@pytest.mark.parametrize("times", [1, 100, 100_000])
+def test_a_leak_comes_out_however_large_the_corpus(spark, world, times, monkeypatch):
+    """Copies and corpus grow alike: 25 words with two changed, cut where the windows lie worst, among words that no item has."""
+    own, n, df = _grown(world, times)
+    item = own.ids[0]
+    copy = item[5:30].copy()
+    copy[[8, 16]] = 0
+    ids = np.r_[np.zeros(28, np.int32), copy, np.zeros(40, np.int32)]
+    counts = pd.DataFrame({"k": [-1, *range(own.terms.size), *range(own.terms.size + 2, own.terms.size + 2 + len(own.vocabulary))], "n": [n, *[df] * (own.terms.size + len(own.vocabulary))]})
+
+    class Counted:
+        """Stands for the encoded corpus; its counts are given."""
+
+        def __getattr__(self, name):
+            return lambda *_, **__: self
+
+        def toLocalIterator(self):  # noqa: N802
+            return iter(counts.to_dict("records"))
+
+    idf, unseen, weight = leaks.term_weights(Counted(), own)
+    s = leaks.Search(own, idf, unseen, weight, leaks.latent_space(spark, own, idf))
+    assert 0 in s.found(ids)
+
+
+def test_the_bound_is_never_below_the_share(world):
+    own, *_ = _grown(world, 1)
+    rng = np.random.default_rng(3)
+    s = leaks.Search(own, np.r_[np.ones(own.terms.size), 0.0], 1.0, np.r_[0.0, rng.uniform(1, 9, len(own.vocabulary))], np.zeros((own.terms.size + 1, 2), np.float32))
+    texts = np.arange(len(own.ids))
+    for _ in range(20):
+        x = own.ids[rng.integers(texts.size)]
+        a = int(rng.integers(x.size))
+        doc = np.r_[rng.integers(0, len(own.vocabulary) + 1, 30), x[a : a + 30]].astype(np.int32)
+        most = s.most(texts, np.zeros(texts.size, np.int64), [doc])
+        assert all(most[k] >= leaks.span_found(own.ids[k], doc, s.weight) - 1e-9 for k in texts)
