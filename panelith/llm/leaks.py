@@ -78,10 +78,12 @@ class Items:
                     mine = by.setdefault(w, [])
                     if i not in mine:
                         mine.append(i)
-        if sum(map(len, by)) > MAX_WORDS:
+        answers = [words(r["answer"] or "") for r in rows]
+        if sum(map(len, by)) + sum(map(len, answers)) > MAX_WORDS:
             raise ValueError(f"more than {MAX_WORDS} words of test items: search them in parts")
-        voc = {w: k + 1 for k, w in enumerate(sorted({w for t in by for w in t}))}
-        out = Items([r["item_id"] for r in rows], [words(r["answer"] or "") for r in rows], voc)
+        # answers' words have numbers, so that they can be found in documents, but make no terms
+        voc = {w: k + 1 for k, w in enumerate(sorted({w for t in [*by, *answers] for w in t}))}
+        out = Items([r["item_id"] for r in rows], answers, voc)
         for t, owners in by.items():
             out.owners.append(owners)
             out.ids.append(np.array([voc[w] for w in t], dtype=np.int32))

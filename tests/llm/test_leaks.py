@@ -143,3 +143,13 @@ def test_the_bound_is_never_below_the_share(world):
         doc = np.r_[rng.integers(0, len(own.vocabulary) + 1, 30), x[a : a + 30]].astype(np.int32)
         most = s.most(texts, np.zeros(texts.size, np.int64), [doc])
         assert all(most[k] >= leaks.span_found(own.ids[k], doc, s.weight) - 1e-9 for k in texts)
+
+
+def test_answers_in_words_of_their_own_are_found(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 60, [f"w{i}x" for i in range(400)])
+    items = [("own", None, passage, "Forty-two zlotys", None), ("absent", None, passage, "fifty zlotys", None), ("none", None, passage, None, None)]
+    docs = [(1, f"{passage} and the sum was forty-two\nzlotys in all", None, None), (2, f"{passage} and zlotys fortytwo", None, None)]
+    got = leaks.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEM)).collect()
+    assert len(got) == 6
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["answered"]} == {(1, "own")}
