@@ -218,15 +218,16 @@ def summaries(rows: DataFrame, keys: list[str], epsilon: float = EPSILON) -> Dat
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vs, ws, at = [], [], []
-            for i, x in enumerate(b.column("values").to_pylist()):
-                v = np.frombuffer(x, np.float64)
-                ends = np.unique(np.ceil(np.linspace(0, v.size, min(cells, v.size) + 1)).astype(np.int64))
-                vs.append(v[ends[1:] - 1])
-                ws.append(np.diff(ends))
-                at.append(np.full(ends.size - 1, i))
-            take = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in keys], pa.array(np.concatenate(vs) if vs else np.zeros(0)), pa.array(np.concatenate(ws) if ws else np.zeros(0, np.int64))], [*keys, "v", "weight"])
+            n = b.column("n").to_numpy(zero_copy_only=False)
+            v = np.frombuffer(b"".join(b.column("values").to_pylist()), np.float64)
+            start, keep, weight = np.cumsum(n) - n, np.ones(v.size, bool), np.ones(v.size, np.int64)
+            for i in np.flatnonzero(n > cells).tolist():  # the others keep every value
+                ends = np.unique(np.ceil(np.linspace(0, n[i], cells + 1)).astype(np.int64))
+                keep[start[i] : start[i] + n[i]] = False
+                last = start[i] + ends[1:] - 1
+                keep[last], weight[last] = True, np.diff(ends)
+            take = pa.array(np.repeat(np.arange(n.size), n)[keep])
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in keys], pa.array(v[keep]), pa.array(weight[keep])], [*keys, "v", "weight"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in local.schema.fields if f.name in keys)
     return local.mapInArrow(cells_of, f"{types}, v double, weight bigint").groupBy(*keys, "v").agg(F.sum("weight").alias("weight"))

@@ -37,7 +37,8 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
     prov = F.struct(F.lit("province").alias("level"), F.lit(None).cast("bigint").alias("matr_az"))
     levels = F.explode(F.filter(F.array(firm, prov), lambda x: (x["level"] == "province") | x["matr_az"].isNotNull()))
     value = F.explode(F.array(F.struct(F.lit("retrib03").alias("measure"), F.col("retrib03").alias("v")), F.struct(F.lit("sett_r").alias("measure"), F.col("sett_r").cast("double").alias("v"))))
-    return _grouped(spark, d).select("prov", "anno", "retrib03", "sett_r", levels.alias("x")).select("x.level", "x.matr_az", "prov", "anno", value.alias("y")).select("level", "matr_az", "prov", "anno", "y.measure", "y.v")
+    rows = _grouped(spark, d).withColumn("load_day", F.to_date("loaded_at")).select("load_day", "prov", "anno", "retrib03", "sett_r", levels.alias("x"))
+    return rows.select("load_day", "x.level", "x.matr_az", "prov", "anno", value.alias("y")).select("load_day", "level", "matr_az", "prov", "anno", "y.measure", "y.v")
 
 
 GROUP = ["level", "matr_az", "prov", "anno", "measure"]
@@ -48,7 +49,8 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.combined(percentiles.summaries(_readings(spark, d).where("level = 'province'"), GROUP), GROUP, SHARES)
+    """Each load day is summed up by itself; percentiles are read off the union of the days' summaries."""
+    return percentiles.combined(percentiles.summaries(_readings(spark, d), ["load_day", *GROUP]), GROUP, SHARES)
 
 
 DIMS = ["load_day", "anno", "prov"]
