@@ -11,7 +11,7 @@ from ..session import cut, table
 from ..sources import tables
 
 FIRST, LAST, BIN = 1990, 2001, 4
-MIN_OUTCOMES, MIN_UNITS, REPLICATES = 2, 20, 20
+MIN_OUTCOMES, MIN_UNITS, REPLICATES = 2, 20, 100
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +257,7 @@ def loo_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def loo_sim_ests(spark: SparkSession, d: str) -> DataFrame:
-    return estimators.leave_one_out(_flag(spark, d), ["twfe_clustered", "apm_rank_1"], 10)
+    return estimators.leave_one_out(_flag(spark, d), ["twfe_clustered", "apm_rank_1"], REPLICATES)
 
 
 def _sims(spark: SparkSession, d: str) -> DataFrame:

@@ -28,3 +28,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["bootstrap_obs_means", "loo_sim_ests"])
+def test_a_hundred_replicates(spark, name):
+    assert registry.queries()[name](spark, SF).select("b").distinct().count() == 100
