@@ -53,6 +53,12 @@ def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.combined(percentiles.summaries(_readings(spark, d), ["load_day", *GROUP]), GROUP, SHARES)
 
 
+def p3_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the combined days' percentiles keep the stated error, against all values of each group."""
+    out = percentiles.rank_errors(_readings(spark, d), GROUP, p3_combined_days(spark, d), SHARES)
+    return out.select(*GROUP, "n", (F.col("error") <= percentiles.EPSILON).alias("within"))
+
+
 DIMS = ["load_day", "anno", "prov"]
 
 
@@ -84,13 +90,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents", ["doc_id", "source", "text"]), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_combined_days, p4_distinct_counts, p4_year_overlaps, p6_found, p6_item_report, p7_copies, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_combined_days, p3_rank_errors, p4_distinct_counts, p4_year_overlaps, p6_found, p6_item_report, p7_copies, p7_shares, p8_found)}
 _PICKS = ", ".join(f"max(CASE WHEN i = greatest(1, CAST(ceil({q} * n) AS BIGINT)) THEN v END) AS p{round(100 * q)}" for q in SHARES)
-SQL: dict[str, str] = {
-    "p3_percentiles": f"""WITH f AS (SELECT matr_az, arg_max(p, (loaded_at, p)) AS prov FROM (SELECT matr_az, nullif(upper(trim(prov)), '') AS p, loaded_at FROM firms) WHERE p IS NOT NULL AND matr_az IS NOT NULL GROUP BY matr_az),
+_READINGS = """f AS (SELECT matr_az, arg_max(p, (loaded_at, p)) AS prov FROM (SELECT matr_az, nullif(upper(trim(prov)), '') AS p, loaded_at FROM firms) WHERE p IS NOT NULL AND matr_az IS NOT NULL GROUP BY matr_az),
 e AS (SELECT e.matr_az, f.prov, anno, retrib03, CAST(sett_r AS DOUBLE) AS sett_r FROM earnings e LEFT JOIN f ON f.matr_az = e.matr_az),
 m AS (SELECT matr_az, prov, anno, 'retrib03' AS measure, retrib03 AS v FROM e UNION ALL SELECT matr_az, prov, anno, 'sett_r', sett_r FROM e),
-x AS (SELECT 'firm' AS level, matr_az, prov, anno, measure, v FROM m WHERE matr_az IS NOT NULL UNION ALL SELECT 'province', NULL, prov, anno, measure, v FROM m),
-r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY level, matr_az, prov, anno, measure) AS n FROM x WHERE v IS NOT NULL AND NOT isnan(v) WINDOW w AS (PARTITION BY level, matr_az, prov, anno, measure ORDER BY v))
+x AS (SELECT * FROM (SELECT 'firm' AS level, matr_az, prov, anno, measure, v FROM m WHERE matr_az IS NOT NULL UNION ALL SELECT 'province', NULL, prov, anno, measure, v FROM m) WHERE v IS NOT NULL AND NOT isnan(v))"""
+SQL: dict[str, str] = {
+    "p3_percentiles": f"""WITH {_READINGS},
+r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY level, matr_az, prov, anno, measure) AS n FROM x WINDOW w AS (PARTITION BY level, matr_az, prov, anno, measure ORDER BY v))
 SELECT level, matr_az, prov, anno, measure, n, {_PICKS} FROM r GROUP BY level, matr_az, prov, anno, measure, n""",
+    "p3_rank_errors": f"WITH {_READINGS} SELECT level, matr_az, prov, anno, measure, count(*) AS n, true AS within FROM x GROUP BY ALL",
 }

@@ -56,16 +56,22 @@ def exact(rows, shares):
     return {k: (len(v), *[sorted(v)[max(1, int(np.ceil(q * len(v)))) - 1] for q in shares]) for k, v in by.items()}
 
 
-@pytest.mark.parametrize("finish", [20_000, 40, 1])
-def test_percentiles_are_exact(spark, finish, monkeypatch):
-    monkeypatch.setattr(percentiles, "FINISH", finish)
+@pytest.mark.parametrize(("proposals", "chunk", "held"), [(63, 400_000, 40_000), (7, 150, 40_000), (2, 60, 0)])
+def test_percentiles_are_exact(spark, proposals, chunk, held, monkeypatch):
+    """With few proposals, small chunks and a state that isn't broadcast, too."""
+    for k, v in (("PROPOSALS", proposals), ("CHUNK", chunk), ("BROADCAST_ROWS", held)):
+        monkeypatch.setattr(percentiles, k, v)
+    rounds = []
+    made = percentiles._count
+    monkeypatch.setattr(percentiles, "_count", lambda *x: rounds.append(1) or made(*x))
     rng = np.random.default_rng(1)
     rows = [(int(k) if k else None, "m", float(v)) for k, v in zip(rng.choice([0, 1, 1, 1, 1, 2], 3000), np.round(rng.lognormal(size=3000), 1), strict=True)]
-    rows += [(1, "m", 7.0)] * 900 + [(9, "m", None), (8, "m", float("nan")), (7, "m", -1.0)]
+    rows += [(1, "m", 7.0)] * 900 + [(2, "m", float("inf")), (2, "m", float("-inf"))] * 3 + [(9, "m", None), (8, "m", float("nan")), (7, "m", -1.0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "k bigint, m string, v double, n int").repartition(6)
     shares = [0.0, 0.1, 0.5, 0.9, 1.0]
     got = {(r["k"], r["m"]): tuple(r)[2:] for r in percentiles.percentiles(df, ["k", "m"], shares).collect()}
     assert got == exact(rows, shares)
+    assert rounds
     assert percentiles.percentiles(df.limit(0), ["k"], [0.5]).collect() == []
 
 
@@ -78,7 +84,22 @@ def test_combined_days_within_epsilon(spark):
         p = percentiles.summaries(df.where(f"day = {d}"), ["k"], 0.02)
         parts = p if parts is None else parts.unionByName(p)
     got = percentiles.combined(parts, ["k"], [0.1, 0.5, 0.9]).first()
-    assert got["n"] == v.size and parts.count() <= 9 * 3 * 51
+    assert got["n"] == v.size and parts.selectExpr("max(length(values))").first()[0] <= 16 * 201
     for q in (0.1, 0.5, 0.9):
         assert abs(np.searchsorted(v, got[f"p{round(100 * q)}"], "right") / v.size - q) <= 0.02
     assert percentiles.combined(percentiles.summaries(df.limit(0), ["k"]), ["k"], [0.5]).collect() == []
+
+
+def test_rank_errors(spark):
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(200)], "k bigint, v double")
+    found = percentiles.percentiles(df, ["k"], [0.1, 0.5])
+    assert [r["error"] for r in percentiles.rank_errors(df, ["k"], found, [0.1, 0.5]).collect()] == [0, 0]
+    off = found.withColumn("p50", F.col("p50") + 10)
+    assert [r["error"] for r in percentiles.rank_errors(df, ["k"], off, [0.1, 0.5]).collect()] == [0.05, 0.05]
+
+
+def test_search_that_does_not_end_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "ROUNDS", 0)
+    monkeypatch.setattr(percentiles, "PROPOSALS", 3)
+    with pytest.raises(RuntimeError):
+        percentiles.percentiles(spark.range(100).selectExpr("1L AS k", "cast(id AS double) AS v"), ["k"], [0.5])
