@@ -36,53 +36,60 @@ EPSILON = 0.005
 CHUNK = 400_000
 #: Rows of a round's state that may be broadcast: at most some 500 bytes each.
 BROADCAST_ROWS = 40_000
+#: Runs of a group, of at most PROPOSALS pairs each, that are gathered in one step.
+FEW = 1024
 #: Salts within which summaries are put together.
 SALTS = 16
 
 
-def _binary(x: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Pairs, cut at ends, as binary values."""
-    offsets = np.r_[0, ends].astype(np.int32) * 16
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-
-
-def _pairs(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a binary column, and the offsets of its rows in them."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-    data = col.buffers()[2]
-    flat = np.frombuffer(data, np.uint8, off[-1] - off[0], off[0]) if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
-    return flat.view(np.float64).reshape(-1, 2), (off - off[0]).astype(np.int64) // 16
-
-
 def _types(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
 
 
-def runs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, values and salt: the group's different non-null, non-NaN values, ascending, with their counts, and the number of
-    values: one row for a group and chunk of a task. salt is the task's number.
+def runs(rows: DataFrame, dims: list[str], measures: list[str], levels: dict[str, list[str]]) -> DataFrame:
+    """level, dims, measure, n, values, counts and salt: one row for a group and chunk of a task, the group's different non-null,
+    non-NaN values of a measure, ascending, with their counts (empty where all are 1), and the number of values. salt is the task's number.
 
-    rows has keys (as they are to come out) and v DOUBLE.
+    rows has dims (as they are to come out) and the measures as DOUBLE. Each level groups by those dims that it names; the
+    others are null. Dims that it names with a "!" must not be null. Rows are sent to Python once for all levels and measures.
     """
-    data = rows.select(*keys, "v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-    def flush(t: pa.Table) -> pa.RecordBatch:
-        index = [t.column(k).combine_chunks().dictionary_encode(null_encoding="encode") for k in keys]
-        g = np.zeros(t.num_rows, np.int64)
-        for x in index:
-            _, g = np.unique(g * len(x.dictionary) + x.indices.to_numpy(zero_copy_only=False), return_inverse=True)
-        v = t.column("v").combine_chunks().to_numpy(zero_copy_only=False)
-        order = np.lexsort((v, g))
-        g, v = g[order], v[order]
-        new = np.r_[True, g[1:] != g[:-1]]
-        other = np.flatnonzero(new | np.r_[True, v[1:] != v[:-1]])
-        count = np.diff(np.r_[other, v.size])
-        at = np.flatnonzero(new)
-        ends = np.searchsorted(other, np.r_[at[1:], v.size])
-        pick = pa.array(order[at])
-        return pa.RecordBatch.from_arrays([*[t.column(k).combine_chunks().take(pick) for k in keys], pa.array(np.diff(np.r_[at, v.size])), _binary(np.stack([v[other], count.astype(float)], 1), ends)], [*keys, "n", "values"])
+    keys = ["level", *dims, "measure"]
+    data = rows.select(*dims, *measures)
+
+    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        coded = {k: t.column(k).combine_chunks().dictionary_encode(null_encoding="encode") for k in dims}
+        values = {m: t.column(m).combine_chunks().to_numpy(zero_copy_only=False) for m in measures}
+        for level, named in levels.items():
+            group, usable = np.zeros(t.num_rows, np.int64), np.ones(t.num_rows, bool)
+            for k in named:
+                x = coded[k.rstrip("!")]
+                if k.endswith("!"):
+                    usable &= t.column(k.rstrip("!")).combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+                group = group * len(x.dictionary) + x.indices.to_numpy(zero_copy_only=False)
+                if group.max(initial=0) >= 2**40:
+                    _, group = np.unique(group, return_inverse=True)
+            for m in measures:
+                row = np.flatnonzero(usable & ~np.isnan(values[m]))
+                order = np.lexsort((values[m][row], group[row]))
+                row = row[order]
+                g, v = group[row], values[m][row]
+                new = np.r_[True, g[1:] != g[:-1]][: g.size]
+                other = np.flatnonzero(new | np.r_[True, v[1:] != v[:-1]][: g.size])
+                count = np.diff(np.r_[other, v.size])
+                at = np.flatnonzero(new)
+                ends = np.searchsorted(other, np.r_[at[1:], v.size][: at.size])
+                tied = np.maximum.reduceat(count, np.r_[0, ends[:-1]]) > 1 if at.size else np.zeros(0, bool)
+                size = np.diff(np.r_[0, ends])
+                pick = pa.array(row[at])
+                none = lambda k: pa.nulls(at.size, t.schema.field(k).type)
+                out = [t.column(k).combine_chunks().take(pick) if k in named or f"{k}!" in named else none(k) for k in dims]
+                for i in range(0, at.size, 50_000):
+                    z = slice(i, i + 50_000)
+                    lo, hi = (0 if i == 0 else ends[i - 1]), ends[z][-1]
+                    counts = count[lo:hi][np.repeat(tied[z], size[z])].astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([level] * len(ends[z]), pa.string()), *[c.slice(i, 50_000) for c in out], pa.array([m] * len(ends[z]), pa.string()), pa.array(np.diff(np.r_[at, v.size])[z]),
+                         _bytes(v[other[lo:hi]], ends[z] - lo), _bytes(counts, np.cumsum(np.where(tied[z], size[z], 0)))], [*keys, "n", "values", "counts"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -91,12 +98,46 @@ def runs(rows: DataFrame, keys: list[str]) -> DataFrame:
                 held.append(b)
                 n += b.num_rows
             if n >= CHUNK:
-                yield flush(pa.Table.from_batches(held))
+                yield from flush(pa.Table.from_batches(held))
                 held, n = [], 0
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield from flush(pa.Table.from_batches(held))
+
+    return data.mapInArrow(local, f"level string, {_types(data, dims)}, measure string, n bigint, values binary, counts binary").withColumn("salt", F.spark_partition_id())
+
+
+def _bytes(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers, cut at ends, as binary values."""
+    offsets = (np.r_[0, ends] * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
-    return data.mapInArrow(local, f"{_types(data, keys)}, n bigint, values binary").withColumn("salt", F.spark_partition_id())
+
+def _numbers(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and the offsets of its rows in them."""
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    data, size = col.buffers()[2], np.dtype(kind).itemsize
+    flat = np.frombuffer(data, np.uint8, off[-1] - off[0], off[0]) if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
+    return np.frombuffer(flat.tobytes(), kind), (off - off[0]).astype(np.int64) // size
+
+
+def _binary(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Pairs, cut at ends, as binary values."""
+    return _bytes(x.reshape(-1), np.asarray(ends) * 2)
+
+
+def _pairs(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a binary column, and the offsets of its rows in them."""
+    flat, off = _numbers(col, np.float64)
+    return flat.reshape(-1, 2), off // 2
+
+
+def _of_run(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Runs as pairs, and the offsets of rows in them."""
+    v, off = _numbers(b.column("values"), np.float64)
+    c, coff = _numbers(b.column("counts"), np.uint32)
+    w = np.ones(v.size)
+    w[np.repeat(np.diff(coff) > 0, np.diff(off))] = c
+    return np.stack([v, w], 1), off
 
 
 def _quantiles(x: np.ndarray, k: int, middle: bool) -> np.ndarray:
@@ -146,9 +187,10 @@ def _at_ranks(x: np.ndarray, off: np.ndarray, ranks: list[np.ndarray]) -> list[n
 
 
 def _salts(local: DataFrame) -> int:
-    """Salts by which the runs of one group are gathered: the root of the number of runs that a group can have at most."""
-    n = local.agg(F.sum("n")).first()[0] or 0
-    return max(1, math.isqrt(n // CHUNK + local.rdd.getNumPartitions()))
+    """Salts by which the runs of one group are gathered: the root of the number of runs that a group can have at most. What
+    FEW runs propose is gathered at once."""
+    n = (local.agg(F.sum("n")).first()[0] or 0) // CHUNK + local.rdd.getNumPartitions()
+    return 1 if n <= FEW else math.isqrt(n)
 
 
 def _gathered(parts: DataFrame, keys: list[str], salts: int, k: int, middle: bool) -> DataFrame:
@@ -195,18 +237,19 @@ def _names(shares: list[float]) -> list[str]:
     return [f"p{round(100 * q)}" for q in shares]
 
 
-def percentiles(rows: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
-    """keys, n and for each share q a column p{100 q}: the smallest value with at least q of the group's values at or below it.
+def percentiles(rows: DataFrame, dims: list[str], measures: list[str], levels: dict[str, list[str]], shares: list[float]) -> DataFrame:
+    """level, dims, measure, n and for each share q a column p{100 q}: the smallest value with at least q of the group's values at or
+    below it; rows, dims, measures and levels as for runs().
 
-    rows has keys and v DOUBLE. Null and NaN values don't count; groups without values don't come out; null keys are groups of
-    their own. Ties and repeated rows count as they stand.
+    Null and NaN values don't count; groups without values don't come out; null dims are groups of their own, unless named
+    with "!". Ties and repeated rows count as they stand.
     """
-    local, names, count = cut(runs(rows, keys)), _names(shares), len(shares)
+    keys, local, names, count = ["level", *dims, "measure"], cut(runs(rows, dims, measures, levels)), _names(shares), len(shares)
     types, salts = _types(local, keys), _salts(local)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, exact = _each(*_pairs(b.column("values")), PROPOSALS, True)
+            values, exact = _each(*_of_run(b), PROPOSALS, True)
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("n"), pa.array(exact), values, b.column("salt")], [*keys, "n", "exact", "values", "salt"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +260,9 @@ def percentiles(rows: DataFrame, keys: list[str], shares: list[float]) -> DataFr
             found = _at_ranks(x, off, ranks)
             beside = [_at_ranks(x, off, [np.clip(r + s * n * BESIDE, 1, n) for r in ranks]) for s in (-1, 1)]
             pivots = np.stack([beside[0], found, beside[1]], 2).transpose(1, 0, 2).reshape(-1)
-            at = np.arange(b.num_rows + 1, dtype=np.int32) * (3 * count)
+            still = ~b.column("exact").to_numpy(zero_copy_only=False)
+            at = np.r_[0, np.cumsum(still * (3 * count))].astype(np.int32)
+            pivots = pivots.reshape(b.num_rows, -1)[still].reshape(-1)
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("n"), b.column("exact"), *[pa.array(v) for v in found], pa.ListArray.from_arrays(pa.array(at), pa.array(pivots))], [*keys, "n", "exact", *names, "pivots"])
 
     proposed = local.mapInArrow(first, f"{types}, n bigint, exact boolean, values binary, salt int")
@@ -236,7 +281,7 @@ def _count(local: DataFrame, pivots: DataFrame, keys: list[str]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, off = _pairs(b.column("values"))
+            x, off = _of_run(b)
             take, index, below, upto = [], [], [], []
             for i, p in enumerate(b.column("pivots").to_pylist()):
                 own = x[off[i] : off[i + 1]]
@@ -250,7 +295,7 @@ def _count(local: DataFrame, pivots: DataFrame, keys: list[str]) -> DataFrame:
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in keys], pa.array(index, pa.int32()), pa.array(below, pa.int64()), pa.array(upto, pa.int64())], [*keys, "i", "below", "upto"])
 
-    held = _with_state(local.select(*keys, "values", "salt"), pivots.select(*keys, "pivots"), keys)
+    held = _with_state(local.select(*keys, "values", "counts", "salt"), pivots.select(*keys, "pivots"), keys)
     sums = held.mapInArrow(count, f"{_types(local, keys)}, i int, below bigint, upto bigint").groupBy(*keys, "i").agg(F.sum("below").alias("below"), F.sum("upto").alias("upto"))
     return sums.groupBy(*keys).agg(F.collect_list(F.struct("i", "below", "upto")).alias("counts"))
 
@@ -301,7 +346,7 @@ def _select(local: DataFrame, open_: DataFrame, keys: list[str], shares: list[fl
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, off = _pairs(b.column("values"))
+            x, off = _of_run(b)
             take, js, n, exact, values = [], [], [], [], []
             for i, (lo, hi, answer) in enumerate(zip(*[b.column(k).to_pylist() for k in ("lo", "hi", "answer")], strict=True)):
                 own = x[off[i] : off[i + 1]]
@@ -346,7 +391,7 @@ def _select(local: DataFrame, open_: DataFrame, keys: list[str], shares: list[fl
         state = state.where(missing)
         if state.isEmpty():
             return union_all(found)
-        held = _with_state(local.select(*keys, "values", "salt"), state.select(*keys, "lo", "hi", "answer"), keys)
+        held = _with_state(local.select(*keys, "values", "counts", "salt"), state.select(*keys, "lo", "hi", "answer"), keys)
         proposed = held.mapInArrow(propose, f"{_types(local, keys)}, j int, n bigint, exact boolean, values binary, salt int")
         gathered = _gathered(proposed, [*keys, "j"], salts, PROPOSALS, True).groupBy(*keys).agg(F.collect_list(F.struct("j", "exact", "values")).alias("proposals"))
         picked = _beside(state, gathered, keys).mapInArrow(pick, f"{_types(local, keys)}, n bigint, pivots array<double>, answer array<double>")
@@ -358,17 +403,18 @@ def _select(local: DataFrame, open_: DataFrame, keys: list[str], shares: list[fl
     raise RuntimeError(f"percentiles not found in {ROUNDS} rounds")
 
 
-def summaries(rows: DataFrame, keys: list[str], epsilon: float = EPSILON) -> DataFrame:
-    """keys, n, values and salt: the number of a group's values and at most 4/epsilon weighted ones of them, for each part (task or
-    file) of rows.
+def summaries(rows: DataFrame, dims: list[str], measures: list[str], levels: dict[str, list[str]], epsilon: float = EPSILON) -> DataFrame:
+    """level, dims, measure, n, values and salt: the number of a group's values and at most 4/epsilon weighted ones of them, for each
+    part (task or file) of rows; rows, dims, measures and levels as for runs().
 
     Summaries of other days or files are combined by union; combined() reads percentiles off the union.
     """
-    cells, local = math.ceil(4 / epsilon), runs(rows, keys)
+    keys = ["level", *dims, "measure"]
+    cells, local = math.ceil(4 / epsilon), runs(rows, dims, measures, levels)
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("n"), _each(*_pairs(b.column("values")), cells, False)[0], b.column("salt")], [*keys, "n", "values", "salt"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("n"), _each(*_of_run(b), cells, False)[0], b.column("salt")], [*keys, "n", "values", "salt"])
 
     return local.mapInArrow(cells_of, f"{_types(local, keys)}, n bigint, values binary, salt int")
 
@@ -390,10 +436,11 @@ def combined(parts: DataFrame, keys: list[str], shares: list[float], epsilon: fl
     return gathered.mapInArrow(read, f"{types}, n bigint, {', '.join(f'{x} double' for x in names)}")
 
 
-def rank_errors(rows: DataFrame, keys: list[str], found: DataFrame, shares: list[float]) -> DataFrame:
-    """keys, n, error: how far the ranks of found(keys, n, p...), percentiles of rows by group, lie from those asked for at most, as a
+def rank_errors(rows: DataFrame, dims: list[str], measures: list[str], levels: dict[str, list[str]], found: DataFrame, shares: list[float]) -> DataFrame:
+    """level, dims, measure, n, error: how far the ranks of found, percentiles of rows by group, lie from those asked for at most, as a
     share of n: 0 if a value has the rank."""
-    local, found = cut(runs(rows, keys)), cut(found)
+    keys = ["level", *dims, "measure"]
+    local, found = cut(runs(rows, dims, measures, levels)), cut(found)
     counts = _count(local, found.select(*keys, F.array(*_names(shares)).alias("pivots")), keys)
     ranks = F.array(*[F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))).cast("bigint") for q in shares])
     off = F.array_max(F.transform("counts", lambda c: F.greatest(c["below"] + 1 - F.get("ranks", c["i"]), F.get("ranks", c["i"]) - c["upto"], F.lit(0))))

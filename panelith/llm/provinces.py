@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.heavy import skew_join
 
-#: Firms up to which their provinces may be broadcast: about 25 MB.
-BROADCAST_FIRMS = 600_000
+#: Firms up to which their provinces may be broadcast: about 4 MB.
+BROADCAST_FIRMS = 100_000
 
 
 def with_province(earnings: DataFrame, firms: DataFrame) -> DataFrame:

@@ -32,30 +32,28 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each reading and level: the firm in a year and the province in a year."""
-    firm = F.struct(F.lit("firm").alias("level"), F.col("matr_az").alias("matr_az"))
-    prov = F.struct(F.lit("province").alias("level"), F.lit(None).cast("bigint").alias("matr_az"))
-    levels = F.explode(F.filter(F.array(firm, prov), lambda x: (x["level"] == "province") | x["matr_az"].isNotNull()))
-    value = F.explode(F.array(F.struct(F.lit("retrib03").alias("measure"), F.col("retrib03").alias("v")), F.struct(F.lit("sett_r").alias("measure"), F.col("sett_r").cast("double").alias("v"))))
-    rows = _grouped(spark, d).withColumn("load_day", F.to_date("loaded_at")).select("load_day", "prov", "anno", "retrib03", "sett_r", levels.alias("x"))
-    return rows.select("load_day", "x.level", "x.matr_az", "prov", "anno", value.alias("y")).select("load_day", "level", "matr_az", "prov", "anno", "y.measure", "y.v")
+    return _grouped(spark, d).select("matr_az", "prov", "anno", F.to_date("loaded_at").alias("load_day"), "retrib03", F.col("sett_r").cast("double").alias("sett_r"))
 
 
-GROUP = ["level", "matr_az", "prov", "anno", "measure"]
+#: A firm in a year and a province in a year.
+LEVELS = {"firm": ["matr_az!", "prov", "anno"], "province": ["prov", "anno"]}
+BY, MEASURES = ["matr_az", "prov", "anno"], ["retrib03", "sett_r"]
+GROUP = ["level", *BY, "measure"]
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.percentiles(_readings(spark, d), GROUP, SHARES)
+    return percentiles.percentiles(_readings(spark, d), BY, MEASURES, LEVELS, SHARES)
 
 
 def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
     """Each load day is summed up by itself; percentiles are read off the union of the days' summaries."""
-    return percentiles.combined(percentiles.summaries(_readings(spark, d), ["load_day", *GROUP]), GROUP, SHARES)
+    days = {level: ["load_day", *named] for level, named in LEVELS.items()}
+    return percentiles.combined(percentiles.summaries(_readings(spark, d), ["load_day", *BY], MEASURES, days), GROUP, SHARES)
 
 
 def p3_rank_errors(spark: SparkSession, d: str) -> DataFrame:
     """Whether the combined days' percentiles keep the stated error, against all values of each group."""
-    out = percentiles.rank_errors(_readings(spark, d), GROUP, p3_combined_days(spark, d), SHARES)
+    out = percentiles.rank_errors(_readings(spark, d), BY, MEASURES, LEVELS, p3_combined_days(spark, d), SHARES)
     return out.select(*GROUP, "n", (F.col("error") <= percentiles.EPSILON).alias("within"))
 
 

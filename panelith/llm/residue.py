@@ -22,7 +22,10 @@ from . import residue_seeds
 MARKS = " \n.,;:'\"()[]{}<>%$_/-=“”«»@#|"
 SIZE, ORDER = 28 + len(MARKS), 4
 #: Evidence in nats: what a character costs a stretch, and the least sum of a stretch that counts.
-COST, LEAST, LEAST_FIELD, LEAST_BRACKET = 0.25, 12.0, 4.5, 10.0
+COST, LEAST, LEAST_FIELD, LEAST_LITERAL = 0.25, 12.0, 6.0, 14.0
+#: Share of the evidence for a placeholder from which a document takes no part in the second fit of natural prose; weight of
+#: the passages found in the corpus, as a share of the samples'.
+DOUBT, SELF = 0.5, 0.5
 #: Share of a sentence that residue must cover.
 COVERED = 0.6
 #: Step of the stored ratios.
@@ -99,14 +102,32 @@ def corpus_counts(documents: DataFrame, only: Callable[[str], bool] | None = Non
     return total
 
 
-def ratios(corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratios against the corpus of each n-gram, in units of UNIT: for placeholders, for residue passages.
+def _against(seeds: np.ndarray, natural: np.ndarray) -> np.ndarray:
+    return np.round(np.clip(conditional(seeds) - natural, -6, 6) / UNIT).astype(np.int8)
 
-    A byte each, as every task holds them.
+
+def _with_mark() -> np.ndarray:
+    """Whether each n-gram holds something else than letters and spaces."""
+    plain = np.r_[np.ones(26, bool), np.zeros(SIZE - 26, bool)]
+    plain[28 + MARKS.index(" ")] = True
+    all_plain = plain
+    for _ in range(ORDER - 1):
+        all_plain = (all_plain[:, None] & plain).reshape(-1)
+    return ~all_plain
+
+
+def ratios(corpus: np.ndarray, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood ratios against the corpus of each n-gram, in units of UNIT: for placeholders, words left in their place, and
+    residue passages, whose counts those found in the corpus join. A byte each, as every task holds them.
+
+    What a field is called says nothing: in the model of placeholders n-grams of letters alone are neutral.
     """
     natural = conditional(corpus)
-    limit = lambda seeds: np.round(np.clip(conditional(count([f"\n{t}\n" for t in seeds])) - natural, -6, 6) / UNIT).astype(np.int8)
-    return limit(residue_seeds.placeholders()), limit(residue_seeds.passages())
+    lines = lambda seeds: count([f"\n{t}\n" for t in seeds])
+    passages = lines(residue_seeds.passages())
+    if found is not None and found.sum():
+        passages = passages + found * (SELF * passages.sum() / found.sum())
+    return np.where(_with_mark(), _against(count([f" {t} " for t in residue_seeds.placeholders()]), natural), 0).astype(np.int8), _against(count([f" {t} " for t in residue_seeds.literals()]), natural), _against(passages, natural)
 
 
 def score(ratio: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -139,14 +160,10 @@ _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s|$)[^.!?\n]*)*[.!?]*\s*")
 _NUMBER = re.compile(r"^\s*(?:[(\[§]?\s*\d+\s*[)\].]?\s+)")
 
 
-def residue_in(text: str, field: np.ndarray, passage: np.ndarray) -> bool:
-    """Whether a text holds residue."""
-    bare = _QUOTED.sub(lambda m: " " * len(m.group()), text)
-    g = ngrams(symbols(bare))
-    for a, b, gain in stretches(score(field, g), LEAST_FIELD):
-        if _is_field(bare, a, b, gain):
-            return True
-    p = score(passage, g)
+def residue_sentences(text: str, passage: np.ndarray) -> list[tuple[int, int]]:
+    """Sentences that residue covers for the most part."""
+    p = score(passage, ngrams(symbols(_QUOTED.sub(lambda m: " " * len(m.group()), text))))
+    out = []
     for a, b, _ in stretches(p, LEAST):
         start, end = text.rfind("\n", 0, a + 1) + 1, text.find("\n", b)
         end = len(text) if end < 0 else end
@@ -155,17 +172,25 @@ def residue_in(text: str, field: np.ndarray, passage: np.ndarray) -> bool:
         for s in _SENTENCE.finditer(text, start, end):
             x, y = s.span()
             if y - x >= 8 and x < b and y > a and covered(p[x:y]) >= COVERED:
-                return True
-    return False
+                out.append((x, y))
+    return out
+
 
+def has_field(text: str, field: np.ndarray, literal: np.ndarray, least: float = 1.0) -> bool:
+    """Whether a text holds a placeholder or a word left in its place outside quotation marks; least: share of the evidence needed."""
+    g = ngrams(symbols(_QUOTED.sub(lambda m: " " * len(m.group()), text)))
+    return _peak(score(field, g)) >= least * LEAST_FIELD or _peak(score(literal, g)) >= least * LEAST_LITERAL
 
-_FIELD = re.compile(r"\[\[|\]\]|[{}<>%$@#«»_|]|goes here|null null|undefined|nan|todo|tbd|fixme|object", re.I)
 
+def _peak(llr: np.ndarray) -> float:
+    """The largest sum of a stretch."""
+    c = np.cumsum(llr - COST)
+    return float((c - np.minimum.accumulate(np.minimum(c, 0))).max()) if llr.size else 0.0
 
-def _is_field(text: str, a: int, b: int, gain: float) -> bool:
-    """Whether a stretch has a mark or wording of a field; square brackets, which rulings have too, need more evidence."""
-    part = text[max(0, a - 2) : b + 1]
-    return bool(_FIELD.search(part)) or gain >= LEAST_BRACKET and ("[" in part or "]" in part)
+
+def residue_in(text: str, field: np.ndarray, literal: np.ndarray, passage: np.ndarray) -> bool:
+    """Whether a text holds residue."""
+    return has_field(text, field, literal) or bool(residue_sentences(text, passage))
 
 
 def covered(llr: np.ndarray) -> float:
@@ -175,14 +200,12 @@ def covered(llr: np.ndarray) -> float:
     return float((np.convolve(good, np.ones(n), "full") > 0).mean())
 
 
-def _holds(text: str, field: np.ndarray, passage: np.ndarray) -> bool:
+def _holds(text: str, field: np.ndarray, literal: np.ndarray, passage: np.ndarray) -> bool:
     """residue_in, after a cheaper test that most texts fail."""
     g = ngrams(symbols(text))
-    for llr, least in ((field, LEAST_FIELD), (passage, LEAST)):
-        c = np.cumsum(score(llr, g) - COST)
-        if (c - np.minimum.accumulate(np.minimum(c, 0))).max() >= least:
-            return residue_in(text, field, passage)
-    return False
+    if _peak(score(field, g)) >= LEAST_FIELD or _peak(score(literal, g)) >= LEAST_LITERAL:
+        return residue_in(text, field, literal, passage)
+    return _peak(score(passage, g)) >= LEAST and bool(residue_sentences(text, passage))
 
 
 def residue(documents: DataFrame, corpus: np.ndarray | None = None) -> DataFrame:

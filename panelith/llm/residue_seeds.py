@@ -1,6 +1,7 @@
 """Sample texts of residue, made from short phrase lists by rule; the models of residue are fitted on them.
 
-The words below are fixed values: wording that templates, web servers and page viewers are known to leave behind.
+The words below are fixed values: syntax of public template languages and wording of widely used web servers, frameworks,
+languages and pages.
 """
 
 from __future__ import annotations
@@ -9,58 +10,66 @@ import itertools
 import random
 from http import HTTPStatus
 
-FIELDS = """name first_name last_name party_name case_number docket date hearing_date judge amount sum_awarded address city court registry claimant respondent
-appellant debtor creditor counsel interest_rate signature title presiding_judge reporting_member day_of_service price customer_name total currency number
-nome nome_parte cognome data data_udienza giudice relatore importo somma sede indirizzo ricorrente convenuto resistente avvocato numero tribunale firma titolo""".split()
+#: Field names as in mail merges and forms.
+FIELDS = """name first_name last_name company address city state zip country phone email date time title amount price quantity number id user customer client
+order invoice product url subject message description value text total currency party case court judge lawyer signature company_name start_date due_date
+nome cognome indirizzo citta telefono data ora luogo importo firma oggetto numero cliente societa avvocato parte prezzo totale titolo data_nascita""".split()
 
-WRAPS = ["{{%s}}", "{{ %s }}", "{{case.%s}}", "{%s}", "${%s}", "${case.%s}", "<%%= %s %%>", "[[%s]]", "%%(%s)s", "%%%%%s%%%%", "%%%s%%", "$%s$", "<<%s>>", "<%s>", "«%s»", "[%s]",
-         "[insert %s]", "[insert %s here]", "<insert %s here>", "[enter %s]", "[inserire %s]", "<%s da inserire>", "[%s to be completed]", "[%s tbd]", "@@%s@@", "#%s#", "__%s__", "&lt;%s&gt;", "[to be completed: %s]", "[da completare: %s]", "{%%%s%%}"]
+#: Mustache and Jinja, Python, shell, ERB and JSP, Word, wiki and mail-merge forms, and how forms name what is to be filled in.
+WRAPS = ["{{%s}}", "{{ %s }}", "{{page.%s}}", "{{{%s}}}", "{%s}", "{%% %s %%}", "${%s}", "${form.%s}", "#{%s}", "<%%= %s %%>", "<%% %s %%>", "[[%s]]", "%%(%s)s", "%%%%%s%%%%", "%%%s%%", "$%s$", "$%s", "<<%s>>", "<%s>", "«%s»", "[%s]", "[%%%s%%]",
+         "[insert %s]", "[insert %s here]", "<insert %s>", "[enter %s]", "[your %s]", "[your %s here]", "[inserire %s]", "<inserire %s>", "[%s to be completed]", "[%s tbd]", "[completare %s]", "@@%s@@", "@%s@", "##%s##", "#%s#", "__%s__", "&lt;%s&gt;", "{{#%s}}", "{{/%s}}", "|%s|", "*|%s|*"]
+POSITIONS = ["{%s}", "{{%s}}", "%%%s", "$%s", "${%s}", "[%s]"]
 
-LITERALS = ["Party A Name Goes Here", "Party B Name Goes Here", "Name Goes Here", "null null", "undefined undefined", "[object Object]", "NaN", "TODO", "TBD", "FIXME", "XX/XX/XXXX", "Nome Parte Qui", "Nome Cognome Qui", "[...to be completed...]"] + ["{%d}" % k for k in range(10)]
+LITERALS = ["null null", "undefined undefined", "undefined", "[object Object]", "NaN NaN", "TODO TODO", "TBD", "FIXME", "XX/XX/XXXX", "dd/mm/yyyy", "gg/mm/aaaa", "Your Name Here", "Name Goes Here", "First Name Last Name", "Company Name Here", "Nome Cognome", "Nome Cognome Qui", "Insert Name", "MERGEFIELD Name"]
 
 LOREM = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud
 exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur""".split()
-MASH = "asdf qwer foo bar baz blah xxx tst test qwerty zxcv yada".split()
-REPEATED = ["sample text", "dummy paragraph", "dummy text", "placeholder text", "body copy here", "your text here", "text goes here", "insert text here", "testo segnaposto", "testo di prova", "testo di esempio", "contenuto di esempio"]
-DRAFTS = ["Text of this paragraph to follow.", "Text to follow.", "(reasons to be supplied by the drafting clerk)", "Replace this block with the grounds of the decision.", "Replace this text with your own.", "Headline goes here. Supporting wording goes here.",
-          "This is a test ruling created to check the layout. Please ignore.", "This is only a test page. Please ignore this entry.", "Inserire qui la motivazione.", "Inserire qui il testo della decisione.", "Testo da completare a cura della cancelleria.", "Il testo di questo paragrafo segue.",
-          "Questa è una decisione di prova creata per verificare l'impaginazione. Ignorare.", "Sostituire questo blocco con i motivi della decisione.", "(motivazione da inserire)", "Add your content here.", "Content to be added later.", "Paragraph left blank for drafting."]
+MASH = "foo bar baz qux quux asdf asdfasdf qwer qwerty zxcv hjkl xxx yyy blah bla test test tst abc aaa".split()
+REPEATED = ["sample text", "dummy text", "placeholder text", "filler text", "body text", "text here", "your text here", "text goes here", "insert text here", "test test test", "testo di prova", "testo di esempio", "testo segnaposto", "testo fittizio", "prova prova"]
+FILLER = ["The quick brown fox jumps over the lazy dog.", "Ma la volpe col suo balzo ha raggiunto il quieto Fido.", "Text to follow.", "Text to come.", "Copy to follow.", "Content to be added.", "Content coming soon.", "Coming soon.", "Add your content here.", "Add your text here.", "Click to add text.", "Click here to enter text.", "Type your text here.", "Insert your text here.",
+          "Heading goes here. Body text goes here.", "Replace this text with your own.", "Replace this paragraph with your own content.", "This is a placeholder.", "This is sample content.", "This is an example page.", "This is a test page. Please ignore.", "This is only a test. Please ignore.", "This page is intentionally left blank.", "This is dummy text used to check the layout.",
+          "Draft, text to be supplied.", "(to be completed)", "(text to be supplied)", "To be written.", "Inserire qui il testo.", "Inserire il testo qui.", "Fare clic qui per immettere testo.", "Il testo seguirà.", "Segue testo.", "Testo da inserire.", "Testo da completare.", "(da completare)", "Contenuto in arrivo.", "Sostituire questo testo con il proprio.", "Questa è una pagina di prova. Ignorare.",
+          "Questo è un testo di prova per verificare l'impaginazione.", "Pagina lasciata intenzionalmente vuota."]
 
-ERRORS = ["Too many requests from your address. Wait 30 seconds before asking for /rulings/12/34 again.", "Too many requests from your address. Pause before trying again.", "Scheduled maintenance: the rulings service is unavailable until 12:30. Thank you for your patience.",
-          "Planned outage: the service is unavailable until 9:15.", "Upgrade in progress: the rulings service is unavailable.", "Access denied. You are not allowed to view /rulings/12/34 on this server.", "Permission denied. You do not have permission to view this page on this server.",
-          "Not authorised. You are not allowed to view this file on this server.", "Your session timed out. Log in again to continue reading /rulings/12/34.", "Your session has expired. Sign in once more to continue reading.", "Your login is no longer valid. Sign in once more to continue.",
-          "The page you are looking for was removed. Check the address or use the index.", "The file you are looking for no longer exists. Use the search.", "The document you are looking for has been moved.", "The requested page could not be found.", "The server could not find the requested document.",
-          "The server encountered an internal error and could not complete your request.", "The server could not understand the request.", "An error occurred while processing your request. Incident 4711. Please try later.", "Something went wrong. Return to the index or try later.", "Sorry, something went wrong while loading the text. Reload in a few minutes. (ref. 008)",
-          "Traceback (most recent call last):\nFile \"render.py\", line 12, in main\nFile \"fetch.py\", line 87, in body\nKeyError: 'body'", "ValueError: 'doc'", "TimeoutError: 'rev'", "java.lang.NullPointerException\nat archive.Main.run(Main.java:12)\nat archive.Viewer.draw(Viewer.java:44)",
-          "java.lang.IllegalStateException", "java.lang.OutOfMemoryError", "Exception in thread main", "Fatal error: could not connect to the database in view.inc on line 158", "Warning: allowed memory exhausted in view.inc on line 12", "Exception: max execution time exceeded in view.inc on line 9",
-          "Pagina non trovata. Tornare alla pagina iniziale.", "Errore 404: documento non trovato. Riprovare più tardi. Rif. b28e8cfe", "Errore 500: servizio non disponibile. Riprovare più tardi.", "Errore 403: accesso negato.", "Accesso negato. Non si dispone dell'autorizzazione per consultare la pagina.",
-          "Sessione scaduta. Effettuare di nuovo l'accesso per continuare.", "Il servizio è temporaneamente non disponibile per manutenzione.", "Si è verificato un errore interno. Contattare l'amministratore.", "Manutenzione programmata: il servizio non è disponibile fino alle 12:30."]
+ERRORS = ["The requested URL was not found on this server.", "The requested page could not be found.", "You don't have permission to access this resource.", "You do not have permission to view this page on this server.", "You are not authorized to view this page.", "You are not allowed to access this file.", "Permission denied.", "Access denied.", "Not authorised.",
+          "The server encountered an internal error or misconfiguration and was unable to complete your request.", "Please contact the server administrator.", "The server is temporarily unable to service your request due to maintenance downtime or capacity problems. Please try again later.", "The server could not understand your request.",
+          "The page you are looking for might have been removed, had its name changed, or is temporarily unavailable.", "The page you were looking for doesn't exist. You may have mistyped the address or the page may have moved.", "The document you are looking for has been moved.", "The file you requested no longer exists.", "Check the address and try again or use the search.", "Return to the home page.", "Go back to the index.",
+          "We're sorry, but something went wrong.", "Sorry, something went wrong. Try again later.", "Oops, something went wrong while loading this page. Please reload the page in a few minutes.", "Oops! That page can't be found. It looks like nothing was found at this location. Maybe try a search?", "An error occurred while processing your request. Please try again later. Reference", "An unexpected error has occurred. Error code", "There has been a critical error on this website.", "Error establishing a database connection.",
+          "Too many requests. Please slow down and try again later.", "You have sent too many requests from your address in a given amount of time. Wait 30 seconds before trying again.", "You are being rate limited. Wait a few seconds before asking again.", "Request timed out. Please try again.", "The connection has timed out.", "The connection was reset.", "This site can't be reached.",
+          "Briefly unavailable for scheduled maintenance. Check back in a minute.", "Scheduled maintenance: the service is unavailable until 12:30. Thank you for your patience.", "The site is down for maintenance. We will be back soon.", "The service is temporarily unavailable. Planned outage until 9:15.", "Upgrade in progress. Thank you for your patience.",
+          "Your session has expired. Please log in again to continue.", "Your session timed out. Sign in again to continue.", "You have been logged out. Please sign in again to continue reading.", "Your login is no longer valid.",
+          "Traceback (most recent call last):\nFile \"main.py\", line 12, in main\nFile \"app.py\", line 87, in load\nKeyError: 'id'", "File \"<stdin>\", line 1, in <module>", "ValueError: 'name'", "TypeError: 'NoneType' object is not subscriptable", "TimeoutError: 'read'", "AttributeError: 'NoneType' object has no attribute 'text'", "IndexError: list index out of range",
+          "Exception in thread \"main\" java.lang.NullPointerException\nat com.example.Main.main(Main.java:12)\nat com.example.App.run(App.java:44)", "java.lang.IllegalStateException", "java.lang.OutOfMemoryError: Java heap space", "java.io.IOException", "Caused by: java.sql.SQLException", "Server Error in '/' Application. Object reference not set to an instance of an object.",
+          "Fatal error: Uncaught Error: Call to undefined function in index.php on line 12", "Fatal error: Allowed memory size exhausted in index.php on line 9", "Fatal error: Maximum execution time exceeded in index.inc on line 158", "Warning: could not connect to the database in index.php on line 12", "Exception: could not connect to the database in db.inc on line 7", "Parse error: syntax error, unexpected end of file in index.php on line 10", "Notice: Undefined index in page.inc on line 33",
+          "Pagina non trovata.", "Impossibile trovare la pagina richiesta.", "La pagina richiesta non è disponibile.", "Il documento richiesto non esiste.", "Tornare alla pagina iniziale.", "Torna alla home page.", "Errore interno del server.", "Si è verificato un errore. Riprovare più tardi.", "Si è verificato un errore imprevisto. Contattare l'amministratore.", "Accesso negato. Non si dispone delle autorizzazioni necessarie.", "Non si dispone dell'autorizzazione per visualizzare questa pagina.",
+          "Sessione scaduta. Effettuare nuovamente l'accesso per continuare.", "Servizio momentaneamente non disponibile.", "Il servizio non è al momento disponibile. Riprovare più tardi.", "Sito in manutenzione. Torneremo presto online.", "Manutenzione programmata: il servizio non è disponibile fino alle 12:30.", "Troppe richieste. Attendere e riprovare.", "Errore 404: pagina non trovata. Rif.", "Errore 500: servizio non disponibile. Riprovare più tardi. Codice", "Errore di connessione al database."]
 
-SCRIPTS = ["JavaScript", "java script", "Javascript", "JS", "scripts", "scripting", "active scripting", "client-side scripts"]
-SCRIPTS_IT = ["JavaScript", "java script", "JS", "gli script", "il codice attivo"]
-THINGS = ["this archive", "this document", "the full ruling", "the viewer", "the judgment text", "the decision", "this application", "this page", "this site"]
-BROWSERS = ["browser", "reader", "browser you use"]
-NOTICES = ["{t} requires {s}. This {b} has it turned off.", "{t} requires {s}. The {b} blocks it.", "{s} is not available. Switch it on and reload to see {t}.", "{s} seems to be off. Switch it on and reload.", "{s} is disabled in your {b}.", "Please enable {s} to view {t}.", "Kindly allow {s} in the {b} to open {t}.",
-           "You need to enable {s} to use this site.", "Checking your {b} before opening {t}. Turn on {s} and cookies to continue.", "Loading {t} ... If nothing happens, your {b} is blocking scripts.", "Loading {t} ... If nothing appears, this {b} is not running our scripts.", "{t} works only with {s} permitted; reload once they are.",
-           "{t} can be shown only with {s} allowed; reload once they are.", "{t} opens only with {s} allowed; reload once they are.", "<noscript>Sorry, we rely on {s}</noscript>", "<noscript>Nothing to show without {s}</noscript>", "<noscript>This application needs {s}</noscript>", "Turn on {s} in your {b} settings and try again."]
-NOTICES_IT = ["Attenzione: il visualizzatore non funziona senza {s}. Abilitarli e ricaricare.", "Avviso: il visualizzatore non funziona senza {s}. Modificare le impostazioni.", "Per leggere il documento bisogna consentire {s} nel browser.", "Per proseguire bisogna consentire {s} nel browser.", "Per visualizzare la decisione attivare {s} nel browser.",
-              "{s} risulta disattivato. Attivarlo e ricaricare la pagina.", "Il browser in uso blocca {s}.", "Questa pagina richiede {s}."]
+SCRIPTS = ["JavaScript", "Javascript", "java script", "JS", "scripts", "scripting", "active scripting", "client-side scripts"]
+SCRIPTS_IT = ["JavaScript", "JS", "gli script", "script", "gli script attivi"]
+THINGS = ["this site", "this page", "this app", "this document", "the content", "the viewer", "this website", "this application", "the text"]
+NOTICES = ["You need to enable {s} to run this app.", "You need to allow {s} to see {t}.", "Please enable {s} to view {t}.", "Please enable {s} in your browser to use {t}.", "Please turn {s} on and reload the page.", "Enable {s} and cookies to continue.", "{s} is not available.", "{s} is disabled in your browser.", "{s} is turned off.", "{s} seems to be disabled. Turn it on and reload to see {t}.", "{s} has been blocked. Change your settings and try again.",
+           "We've detected that {s} is disabled in this browser. Please enable {s} or switch to a supported browser to continue using {t}.", "{t} requires {s} to be enabled.", "{t} requires {s}. Your browser has it turned off.", "{t} works best with {s} enabled.", "{t} works only with {s} enabled; reload once they are allowed.", "{t} can only be shown with {s} enabled.", "To use {t}, {s} must be allowed.", "Your browser does not support {s}.", "Your browser is blocking {s}.", "This browser is not running our {s}.",
+           "Checking your browser before accessing {t}. Please turn on {s} and cookies.", "Loading {t} ... If nothing happens, enable {s}.", "Turn on {s} in your browser settings and try again.", "<noscript>You need to enable {s} to run this app.</noscript>", "<noscript>{t} needs {s}</noscript>", "Sorry, {t} does not work without {s}.", "If you see this message, your browser does not run {s}."]
+NOTICES_IT = ["Per visualizzare questa pagina è necessario abilitare {s}.", "Per leggere il contenuto occorre abilitare {s} nel browser.", "Per continuare bisogna attivare {s} nel browser.", "Per proseguire bisogna consentire {s}.", "È necessario attivare {s} nel browser per utilizzare questa applicazione.", "Il tuo browser non supporta {s}.", "Il browser in uso blocca {s}.", "{s} è disattivato nel browser.", "{s} risulta disattivato. Attivarlo e ricaricare la pagina.", "Questo sito non funziona senza {s}.",
+              "Attenzione: la pagina non funziona senza {s}. Abilitarli e ricaricare.", "Avviso: attivare {s} e ricaricare la pagina. Modificare le impostazioni.", "Questa pagina richiede {s}."]
 
 
 def placeholders() -> list[str]:
-    forms = lambda f: (f, f.replace("_", " "), f.upper(), f.title().replace("_", ""))
-    return [w % x for w, f in itertools.product(WRAPS, FIELDS) for x in forms(f)] + LITERALS * 40
+    forms = lambda f: (f, f.replace("_", " "), f.title().replace("_", ""))
+    return [w % x for w, f in itertools.product(WRAPS, FIELDS) for x in forms(f)] + [w % k for w in POSITIONS for k in range(10)] * 20
+
+
+def literals() -> list[str]:
+    return LITERALS * 20
 
 
 def passages() -> list[str]:
     rng = random.Random(3)
-    statuses = [f"{x.value} {x.phrase}" for x in HTTPStatus if x.value >= 400]
+    statuses = [x for x in HTTPStatus if x.value >= 400]
     out = ERRORS * 12
-    out += [t % s for s in statuses for t in ("%s", "Error %s", "%s. Return to the index.", "HTTP %s. Use the search.")]
-    out += [f"{w} {x.value}{sep} {x.phrase}. {end}" for x in HTTPStatus if x.value >= 400 for w in ("Status", "Error") for sep in (",", ":", " |") for end in ("Return to the index.", "Return to the index or try later.", "Use the search.")]
-    out += [n.format(t=t, s=s, b=b) for n in NOTICES for t in THINGS for s in SCRIPTS for b in BROWSERS]
-    out += [n.format(s=s) for n in NOTICES_IT for s in SCRIPTS_IT] * 20
+    out += [t % f"{x.value}{sep}{x.phrase}" for x in statuses for sep in (" ", ": ", " - ", ", ") for t in ("%s", "Error %s", "HTTP %s", "Status %s", "Errore %s", "HTTP Status %s", "Server error %s.")]
+    out += [n.format(t=t, s=s) for n in NOTICES for t in THINGS for s in SCRIPTS]
+    out += [n.format(s=s) for n in NOTICES_IT for s in SCRIPTS_IT] * 12
     out += [" ".join(rng.choices(LOREM, k=14)).capitalize() + "." for _ in range(900)]
     out += [" ".join(rng.choices(MASH, k=14)) for _ in range(400)]
-    out += [" ".join([r] * 6) for r in REPEATED] * 30 + DRAFTS * 40
-    return out
+    return out + [" ".join([r] * 6) for r in REPEATED] * 30 + FILLER * 40

@@ -26,7 +26,7 @@ def test_combined_days_have_every_group(spark, monkeypatch):
     """Firms and provinces alike, from summaries by load day; groups this small lose nothing in them."""
     keys = []
     made = queries.percentiles.summaries
-    monkeypatch.setattr(queries.percentiles, "summaries", lambda rows, by: keys.append(by) or made(rows, by))
+    monkeypatch.setattr(queries.percentiles, "summaries", lambda rows, by, *x: keys.append(by) or made(rows, by, *x))
     got, want = (sorted(map(tuple, q(spark, SF).collect()), key=str) for q in (queries.p3_combined_days, queries.p3_percentiles))
     assert got == want and {r[0] for r in got} == {"firm", "province"}
-    assert keys == [["load_day", *queries.GROUP]]
+    assert keys == [["load_day", *queries.BY]]

@@ -3,6 +3,7 @@ import pytest
 from panelith.llm import percentiles, set_sketches
 
 F = set_sketches.F
+ALL = {"all": ["k"]}
 
 
 def sketch(h):
@@ -59,7 +60,7 @@ def exact(rows, shares):
 @pytest.mark.parametrize(("proposals", "chunk", "held"), [(63, 400_000, 40_000), (7, 150, 40_000), (2, 60, 0)])
 def test_percentiles_are_exact(spark, proposals, chunk, held, monkeypatch):
     """With few proposals, small chunks and a state that isn't broadcast, too."""
-    for k, v in (("PROPOSALS", proposals), ("CHUNK", chunk), ("BROADCAST_ROWS", held)):
+    for k, v in (("PROPOSALS", proposals), ("CHUNK", chunk), ("BROADCAST_ROWS", held), ("FEW", 1024 if held else 0)):
         monkeypatch.setattr(percentiles, k, v)
     rounds = []
     made = percentiles._count
@@ -69,10 +70,10 @@ def test_percentiles_are_exact(spark, proposals, chunk, held, monkeypatch):
     rows += [(1, "m", 7.0)] * 900 + [(2, "m", float("inf")), (2, "m", float("-inf"))] * 3 + [(9, "m", None), (8, "m", float("nan")), (7, "m", -1.0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "k bigint, m string, v double, n int").repartition(6)
     shares = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {(r["k"], r["m"]): tuple(r)[2:] for r in percentiles.percentiles(df, ["k", "m"], shares).collect()}
+    got = {(r["k"], r["m"]): tuple(r)[2:] for r in percentiles.percentiles(df, ["k", "m"], ["v"], {"all": ["k", "m"]}, shares).drop("level", "measure").collect()}
     assert got == exact(rows, shares)
     assert rounds
-    assert percentiles.percentiles(df.limit(0), ["k"], [0.5]).collect() == []
+    assert percentiles.percentiles(df.limit(0), ["k"], ["v"], ALL, [0.5]).collect() == []
 
 
 def test_combined_days_within_epsilon(spark):
@@ -81,25 +82,25 @@ def test_combined_days_within_epsilon(spark):
     df = spark.createDataFrame([(1, float(x), int(rng.integers(9))) for x in v], "k bigint, v double, day int").repartition(3)
     parts = None
     for d in range(9):
-        p = percentiles.summaries(df.where(f"day = {d}"), ["k"], 0.02)
+        p = percentiles.summaries(df.where(f"day = {d}"), ["k"], ["v"], ALL, 0.02)
         parts = p if parts is None else parts.unionByName(p)
-    got = percentiles.combined(parts, ["k"], [0.1, 0.5, 0.9]).first()
+    got = percentiles.combined(parts, ["level", "k", "measure"], [0.1, 0.5, 0.9], 0.02).first()
     assert got["n"] == v.size and parts.selectExpr("max(length(values))").first()[0] <= 16 * 201
     for q in (0.1, 0.5, 0.9):
         assert abs(np.searchsorted(v, got[f"p{round(100 * q)}"], "right") / v.size - q) <= 0.02
-    assert percentiles.combined(percentiles.summaries(df.limit(0), ["k"]), ["k"], [0.5]).collect() == []
+    assert percentiles.combined(percentiles.summaries(df.limit(0), ["k"], ["v"], ALL), ["level", "k", "measure"], [0.5]).collect() == []
 
 
 def test_rank_errors(spark):
     df = spark.createDataFrame([(i % 2, float(i)) for i in range(200)], "k bigint, v double")
-    found = percentiles.percentiles(df, ["k"], [0.1, 0.5])
-    assert [r["error"] for r in percentiles.rank_errors(df, ["k"], found, [0.1, 0.5]).collect()] == [0, 0]
+    found = percentiles.percentiles(df, ["k"], ["v"], ALL, [0.1, 0.5])
+    assert [r["error"] for r in percentiles.rank_errors(df, ["k"], ["v"], ALL, found, [0.1, 0.5]).collect()] == [0, 0]
     off = found.withColumn("p50", F.col("p50") + 10)
-    assert [r["error"] for r in percentiles.rank_errors(df, ["k"], off, [0.1, 0.5]).collect()] == [0.05, 0.05]
+    assert [r["error"] for r in percentiles.rank_errors(df, ["k"], ["v"], ALL, off, [0.1, 0.5]).collect()] == [0.05, 0.05]
 
 
 def test_search_that_does_not_end_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(percentiles, "ROUNDS", 0)
     monkeypatch.setattr(percentiles, "PROPOSALS", 3)
     with pytest.raises(RuntimeError):
-        percentiles.percentiles(spark.range(100).selectExpr("1L AS k", "cast(id AS double) AS v"), ["k"], [0.5])
+        percentiles.percentiles(spark.range(100).selectExpr("1L AS k", "cast(id AS double) AS v"), ["k"], ["v"], ALL, [0.5])
