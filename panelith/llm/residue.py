@@ -19,20 +19,22 @@ from pyspark.sql import functions as F
 from . import residue_seeds
 
 #: Symbols: letters (without case or accent), a digit for all, these marks, and one for all else.
-MARKS = " \n.,;:'\"()[]{}<>%$_/-=“”«»@#|"
+MARKS = " \n.,;:'\"()[]{}<>%$_/-=“”«»@#|&•"
+#: Those of them that placeholders are made with.
+BRACKETS = "[]{}<>%$_=«»@#|&•"
 SIZE, ORDER = 28 + len(MARKS), 4
-#: Evidence in nats: what a character costs a stretch, and the least sum of a stretch that counts.
-COST, LEAST, LEAST_FIELD, LEAST_LITERAL = 0.25, 12.0, 6.0, 14.0
-#: Share of the evidence for a placeholder from which a document takes no part in the second fit of natural prose; weight of
-#: the passages found in the corpus, as a share of the samples'.
-DOUBT, SELF = 0.5, 0.5
+#: Evidence in nats: what a character costs a stretch, less among placeholders whose letters are neutral, and the least sum of a stretch that counts.
+COST, COST_FIELD, LEAST, LEAST_FIELD, LEAST_LITERAL = 0.25, 0.1, 13.0, 7.9, 16.0
+#: Multiple of the evidence from which the first fit takes a document out of natural prose; weight of the passages found in
+#: the corpus, as a share of the samples'.
+STRICT, SELF = 1.5, 0.5
 #: Share of a sentence that residue must cover.
 COVERED = 0.6
-#: Step of the stored ratios.
-UNIT = 0.05
+#: Step of the stored ratios, and the greatest.
+UNIT, LIMIT = 0.0625, 7.9
 WINDOW = 12
 
-_FOLD = str.maketrans("àáâäèéêëìíîïòóôöùúûüç’‘‑–—", "aaaaeeeeiiiioooouuuuc''---")
+_FOLD = str.maketrans("àáâäèéêëìíîïòóôöùúûüç’‘‑–—●", "aaaaeeeeiiiioooouuuuc''---•")
 
 
 def _codes() -> np.ndarray:
@@ -68,66 +70,105 @@ def ngrams(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def conditional(counts: np.ndarray, strength: float = 2.0) -> np.ndarray:
-    """Log probability of the last symbol of every n-gram given the others, lower orders interpolated."""
-    p = np.full(SIZE, 1 / SIZE, np.float32)
+def conditional(counts: np.ndarray, size: int = SIZE, strength: float = 6.0) -> np.ndarray:
+    """Log probability of the last of size symbols of every n-gram given the others, lower orders interpolated."""
+    p = np.full(size, 1 / size, np.float32)
     for order in range(1, ORDER + 1):
-        c = counts.reshape(SIZE ** (ORDER - order), SIZE**order).sum(0, dtype=np.float64).astype(np.float32).reshape(-1, SIZE)
-        lower = p.reshape(1, SIZE) if order == 1 else np.tile(p.reshape(-1, SIZE), (c.shape[0] // (p.size // SIZE), 1))
-        p = ((c + strength * SIZE * 0.05 * lower) / (c.sum(1, keepdims=True) + strength * SIZE * 0.05)).reshape(-1)
+        c = counts.reshape(size ** (ORDER - order), size**order).sum(0, dtype=np.float64).astype(np.float32).reshape(-1, size)
+        lower = p.reshape(1, size) if order == 1 else np.tile(p.reshape(-1, size), (c.shape[0] // (p.size // size), 1))
+        p = ((c + strength * lower) / (c.sum(1, keepdims=True) + strength)).reshape(-1)
     return np.log(p)
 
 
+def _shapes() -> np.ndarray:
+    """Number of each n-gram when all letters are one symbol, the first."""
+    shape = np.r_[np.zeros(26, np.int32), np.arange(1, SIZE - 25, dtype=np.int32)]
+    out = np.zeros(1, np.int32)
+    for _ in range(ORDER):
+        out = (out[:, None] * (SIZE - 25) + shape).reshape(-1)
+    return out
+
+
 def count(texts: list[str]) -> np.ndarray:
     return np.bincount(np.concatenate([ngrams(symbols(t)) for t in texts]), minlength=SIZE**ORDER)
 
 
-def corpus_counts(documents: DataFrame, only: Callable[[str], bool] | None = None) -> np.ndarray:
-    """Counts of the n-grams of all texts, or of those for which only holds; the driver gets no more rows than there are n-grams."""
+def corpus_counts(documents: DataFrame, parts: Callable[[str], list[list[str]]] = lambda t: [[t]], kinds: int = 1) -> list[np.ndarray]:
+    """Counts of the n-grams of all texts, or of as many kinds of texts as parts makes of each; the driver gets no more rows than
+    there are n-grams of each kind."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE**ORDER, np.int32)
+        total = [np.zeros(SIZE**ORDER, np.int32) for _ in range(kinds)]
         for b in batches:
             for i in range(0, b.num_rows, 1000):
-                texts = [t for t in b.column("text").slice(i, 1000).to_pylist() if t and (only is None or only(t))]
-                if texts:
-                    total += count(texts).astype(np.int32)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "n": pa.array(total[k], pa.int64())})
+                made = [parts(t) for t in b.column("text").slice(i, 1000).to_pylist() if t]
+                for kind in range(kinds):
+                    texts = [x for m in made for x in m[kind]]
+                    if texts:
+                        total[kind] += count(texts).astype(np.int32)
+        for kind in range(kinds):
+            k = np.flatnonzero(total[kind])
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(k.size, kind), pa.int32()), "k": pa.array(k, pa.int32()), "n": pa.array(total[kind][k], pa.int64())})
+
+    sums = documents.select("text").mapInArrow(local, "kind int, k int, n bigint").groupBy("kind", "k").agg(F.sum("n").alias("n"))
+    out = [np.zeros(SIZE**ORDER, np.int64) for _ in range(kinds)]
+    for r in sums.groupBy("kind").agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n")).collect():
+        out[r["kind"]][np.array(r["k"], np.int64)] = r["n"]
+    return out
 
-    sums = documents.select("text").mapInArrow(local, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    at, n = sums.agg(F.collect_list("k"), F.collect_list("n")).first() or ([], [])
-    total = np.zeros(SIZE**ORDER, np.int64)
-    total[np.array(at, np.int64)] = n
-    return total
+
+def _stored(ratio: np.ndarray) -> np.ndarray:
+    return np.round(np.clip(ratio, -LIMIT, LIMIT) / UNIT).astype(np.int8)
 
 
 def _against(seeds: np.ndarray, natural: np.ndarray) -> np.ndarray:
-    return np.round(np.clip(conditional(seeds) - natural, -6, 6) / UNIT).astype(np.int8)
+    return _stored(conditional(seeds) - natural)
 
 
-def _with_mark() -> np.ndarray:
-    """Whether each n-gram holds something else than letters and spaces."""
-    plain = np.r_[np.ones(26, bool), np.zeros(SIZE - 26, bool)]
-    plain[28 + MARKS.index(" ")] = True
-    all_plain = plain
-    for _ in range(ORDER - 1):
-        all_plain = (all_plain[:, None] & plain).reshape(-1)
-    return ~all_plain
+def _is(chars: str) -> np.ndarray:
+    out = np.zeros(SIZE, bool)
+    out[[28 + MARKS.index(c) for c in chars]] = True
+    return out
+
+
+def _holds_any(chars: str) -> np.ndarray:
+    """Whether each n-gram holds one of chars."""
+    out = np.zeros(1, bool)
+    for _ in range(ORDER):
+        out = (out[:, None] | _is(chars)).reshape(-1)
+    return out
+
+
+def _of_marks() -> np.ndarray:
+    """Whether each n-gram is evidence for a placeholder: a mark or digit with one of BRACKETS about it, or a letter after "["."""
+    letter = np.r_[np.ones(26, bool), np.zeros(SIZE - 26, bool)] | _is(" ")
+    letter[27] = True
+    return np.where(np.tile(letter, SIZE ** (ORDER - 1)), _holds_any("["), _holds_any(BRACKETS))
 
 
 def ratios(corpus: np.ndarray, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-likelihood ratios against the corpus of each n-gram, in units of UNIT: for placeholders, words left in their place, and
     residue passages, whose counts those found in the corpus join. A byte each, as every task holds them.
 
-    What a field is called says nothing: in the model of placeholders n-grams of letters alone are neutral.
+    What a field is called says nothing: in the model of placeholders all letters are one and neutral, but after "[", which
+    rulings have too. Its marks, but "[" and "_", are held against how rare they are in the corpus whatever stands before
+    them, as in their usual places they may be residue for the most part.
     """
     natural = conditional(corpus)
     lines = lambda seeds: count([f"\n{t}\n" for t in seeds])
     passages = lines(residue_seeds.passages())
+    single = corpus.reshape(-1, SIZE).sum(0)
+    rare = np.tile(np.log((single + 1) / (single.sum() + SIZE)).astype(np.float32), SIZE ** (ORDER - 1))
+    marks = np.where(np.tile(_is(BRACKETS) & ~_is("[]_"), SIZE ** (ORDER - 1)), rare, natural)
     if found is not None and found.sum():
         passages = passages + found * (SELF * passages.sum() / found.sum())
-    return np.where(_with_mark(), _against(count([f" {t} " for t in residue_seeds.placeholders()]), natural), 0).astype(np.int8), _against(count([f" {t} " for t in residue_seeds.literals()]), natural), _against(passages, natural)
+    size, shapes = SIZE - 25, _shapes()
+    seeds = count([x for t in residue_seeds.placeholders() for x in (f"ab {t} ab", f"ab\n{t}\nab", f"ab: {t}, ab", f"ab ({t}).", f"\n\n{t} ab. ab")])
+    shaped = conditional(np.bincount(shapes, seeds, size**ORDER), size)[shapes]
+    fields = np.where(_of_marks(), _stored(np.where(_holds_any("["), conditional(seeds), shaped) - marks), 0).astype(np.int8)
+    # words count only as the samples have them; a symbol without a number of its own says nothing
+    words = count([f" {t} " for t in residue_seeds.literals()])
+    return fields, np.where(words > 0, _against(words, natural), np.minimum(_against(words, natural), 0)), np.where(np.arange(SIZE**ORDER) % SIZE == 27, 0, _against(passages, natural)).astype(np.int8)
 
 
 def score(ratio: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -160,11 +201,11 @@ _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s|$)[^.!?\n]*)*[.!?]*\s*")
 _NUMBER = re.compile(r"^\s*(?:[(\[§]?\s*\d+\s*[)\].]?\s+)")
 
 
-def residue_sentences(text: str, passage: np.ndarray) -> list[tuple[int, int]]:
+def residue_sentences(text: str, passage: np.ndarray, times: float = 1.0) -> list[tuple[int, int]]:
     """Sentences that residue covers for the most part."""
     p = score(passage, ngrams(symbols(_QUOTED.sub(lambda m: " " * len(m.group()), text))))
     out = []
-    for a, b, _ in stretches(p, LEAST):
+    for a, b, _ in stretches(p, times * LEAST):
         start, end = text.rfind("\n", 0, a + 1) + 1, text.find("\n", b)
         end = len(text) if end < 0 else end
         m = _NUMBER.match(text[start:end])
@@ -176,15 +217,15 @@ def residue_sentences(text: str, passage: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def has_field(text: str, field: np.ndarray, literal: np.ndarray, least: float = 1.0) -> bool:
-    """Whether a text holds a placeholder or a word left in its place outside quotation marks; least: share of the evidence needed."""
+def has_field(text: str, field: np.ndarray, literal: np.ndarray, times: float = 1.0) -> bool:
+    """Whether a text holds a placeholder or a word left in its place outside quotation marks; times: multiple of the evidence needed."""
     g = ngrams(symbols(_QUOTED.sub(lambda m: " " * len(m.group()), text)))
-    return _peak(score(field, g)) >= least * LEAST_FIELD or _peak(score(literal, g)) >= least * LEAST_LITERAL
+    return _peak(score(field, g), COST_FIELD) >= times * LEAST_FIELD or _peak(score(literal, g)) >= times * LEAST_LITERAL
 
 
-def _peak(llr: np.ndarray) -> float:
+def _peak(llr: np.ndarray, cost: float = COST) -> float:
     """The largest sum of a stretch."""
-    c = np.cumsum(llr - COST)
+    c = np.cumsum(llr - cost)
     return float((c - np.minimum.accumulate(np.minimum(c, 0))).max()) if llr.size else 0.0
 
 
@@ -203,29 +244,38 @@ def covered(llr: np.ndarray) -> float:
 def _holds(text: str, field: np.ndarray, literal: np.ndarray, passage: np.ndarray) -> bool:
     """residue_in, after a cheaper test that most texts fail."""
     g = ngrams(symbols(text))
-    if _peak(score(field, g)) >= LEAST_FIELD or _peak(score(literal, g)) >= LEAST_LITERAL:
+    if _peak(score(field, g), COST_FIELD) >= LEAST_FIELD or _peak(score(literal, g)) >= LEAST_LITERAL:
         return residue_in(text, field, literal, passage)
     return _peak(score(passage, g)) >= LEAST and bool(residue_sentences(text, passage))
 
 
+def _strict(text: str, field: np.ndarray, literal: np.ndarray, passage: np.ndarray) -> list[list[str]]:
+    """The text if the first fit finds residue in it, and its sentences of strong evidence."""
+    fits = _peak(score(passage, ngrams(symbols(text)))) >= STRICT * LEAST
+    sentences = [text[a:b] for a, b in residue_sentences(text, passage, STRICT)] if fits else []
+    return [[text] if sentences or has_field(text, field, literal) else [], [f"\n{s.strip()}\n" for s in sentences]]
+
+
 def residue(documents: DataFrame, corpus: np.ndarray | None = None) -> DataFrame:
     """doc_id of each document of documents(doc_id, text) that holds residue.
 
     Null and empty texts hold none; texts are read whole; repeated documents each come out. corpus: n-gram counts of natural
-    prose; by default those of all the documents given, less those that the model of all of them finds residue in.
+    prose; by default those of all the documents given, less those that the model of all of them finds residue in, whose
+    residue sentences join the samples that residue is fitted on.
     """
-    context = documents.sparkSession.sparkContext
+    context, found = documents.sparkSession.sparkContext, None
     if corpus is None:
-        corpus = corpus_counts(documents)
+        corpus = corpus_counts(documents)[0]
         first = context.broadcast(ratios(corpus))
-        corpus = corpus - corpus_counts(documents, lambda t: _holds(t, *first.value))
+        with_residue, found = corpus_counts(documents, lambda t: _strict(t, *first.value), 2)
+        corpus -= with_residue
         first.unpersist()
-    shared = context.broadcast(ratios(corpus))
+    shared = context.broadcast(ratios(corpus, found))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, passage = shared.value
+        models = shared.value
         for b in batches:
             texts = zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc for doc, t in texts if t and _holds(t, field, passage)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc for doc, t in texts if t and _holds(t, *models)], pa.int64())})
 
     return documents.select("doc_id", "text").mapInArrow(find, "doc_id bigint")

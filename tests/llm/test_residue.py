@@ -41,7 +41,7 @@ def test_empty(spark):
 
 def test_counts_equal_brute_force(spark):
     texts = ["Abcà 12", None, "", "xyz {{a}}"]
-    got = residue.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    (got,) = residue.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert (got == residue.count([t for t in texts if t])).all()
     assert got.sum() == sum(len(t) for t in texts if t)
 
@@ -64,7 +64,17 @@ def test_stretches_against_brute_force():
 
 def test_held_out_accuracy(spark, counts):
     """Wording that isn't among the seeds: other fields and other sentences of the same kinds."""
-    field, passage = residue.ratios(counts)
-    unseen = ["Before: {{ chair_of_panel }}", "Delivered on ${sentencing_day}", "Consectetur dolor magna lorem elit amet dolore ipsum sit.", "Session timed out. Log in once more to read on.", "Turn on scripts to read the decision; your browser blocks them."]
-    assert sum(residue.residue_in(t, field, passage) for t in unseen) >= 4
-    assert not any(residue.residue_in(t, field, passage) for t in NATURAL)
+    models = residue.ratios(counts)
+    unseen = ["Before: {{ chair_of_panel }}", "Delivered on ${sentencing_day}", "Consectetur dolor magna lorem elit amet dolore ipsum sit.", "Session timed out. Log in once more to read on.", "Turn on scripts to read the decision; your browser blocks them.",
+              "In the matter of {7} against Vork", "Interest runs from %(sentencing_day)s until payment.", "Before: @@chair_of_panel@@", "Between <<RespondingSide>>, claimant", "ricorrente $parte_lesa$ contro Hask"]
+    assert sum(residue.residue_in(t, *models) for t in unseen) >= 9
+    assert not any(residue.residue_in(t, *models) for t in NATURAL)
+
+
+def test_classes_left_out_of_the_samples(counts, monkeypatch):
+    """Forms and phrases of a class that the samples don't hold are found by their likeness to the rest."""
+    monkeypatch.setattr(residue.residue_seeds, "WRAPS", [w for w in residue.residue_seeds.WRAPS if "@" not in w and "<<" not in w])
+    monkeypatch.setattr(residue.residue_seeds, "NOTICES", [n for n in residue.residue_seeds.NOTICES if "Loading" not in n and "Checking" not in n])
+    models = residue.ratios(counts)
+    left_out = ["Before: @@judge@@", "Between <<Debtor>>, claimant", "Loading the text ... If nothing happens, enable scripting.", "Checking your browser before accessing this site. Please turn on JavaScript and cookies."]
+    assert sum(residue.residue_in(t, *models) for t in left_out) >= 3
