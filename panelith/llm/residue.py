@@ -71,13 +71,17 @@ def ngrams(s: np.ndarray) -> np.ndarray:
 
 
 def conditional(counts: np.ndarray, size: int = SIZE, strength: float = 6.0) -> np.ndarray:
-    """Log probability of the last of size symbols of every n-gram given the others, lower orders interpolated."""
+    """Log probability of the last of size symbols of every n-gram given the others, lower orders interpolated. Single precision
+    and in place, as the driver makes several of them."""
     p = np.full(size, 1 / size, np.float32)
     for order in range(1, ORDER + 1):
-        c = counts.reshape(size ** (ORDER - order), size**order).sum(0, dtype=np.float64).astype(np.float32).reshape(-1, size)
-        lower = p.reshape(1, size) if order == 1 else np.tile(p.reshape(-1, size), (c.shape[0] // (p.size // size), 1))
-        p = ((c + strength * lower) / (c.sum(1, keepdims=True) + strength)).reshape(-1)
-    return np.log(p)
+        c = (counts.astype(np.float32) if order == ORDER else counts.reshape(-1, size**order).sum(0, dtype=np.float64).astype(np.float32)).reshape(-1, size)
+        total = c.sum(1, keepdims=True)
+        view, lower = c.reshape(-1, *p.reshape(-1, size).shape), p.reshape(1, -1, size)
+        view += strength * lower
+        c /= total + strength
+        p = c.reshape(-1)
+    return np.log(p, out=p)
 
 
 def _shapes() -> np.ndarray:
@@ -93,9 +97,9 @@ def count(texts: list[str]) -> np.ndarray:
     return np.bincount(np.concatenate([ngrams(symbols(t)) for t in texts]), minlength=SIZE**ORDER)
 
 
-def corpus_counts(documents: DataFrame, parts: Callable[[str], list[list[str]]] = lambda t: [[t]], kinds: int = 1) -> list[np.ndarray]:
-    """Counts of the n-grams of all texts, or of as many kinds of texts as parts makes of each; the driver gets no more rows than
-    there are n-grams of each kind."""
+def corpus_counts(documents: DataFrame, parts: Callable[[str], list[list[str]]] = lambda t: [[t]], kinds: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """N-grams and their counts of all texts, or of as many kinds of texts as parts makes of each; the driver gets no more rows
+    than there are n-grams of each kind."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(SIZE**ORDER, np.int32) for _ in range(kinds)]
@@ -111,18 +115,23 @@ def corpus_counts(documents: DataFrame, parts: Callable[[str], list[list[str]]]
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(k.size, kind), pa.int32()), "k": pa.array(k, pa.int32()), "n": pa.array(total[kind][k], pa.int64())})
 
     sums = documents.select("text").mapInArrow(local, "kind int, k int, n bigint").groupBy("kind", "k").agg(F.sum("n").alias("n"))
-    out = [np.zeros(SIZE**ORDER, np.int64) for _ in range(kinds)]
-    for r in sums.groupBy("kind").agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n")).collect():
-        out[r["kind"]][np.array(r["k"], np.int64)] = r["n"]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * kinds
+    for r in sums.groupBy("kind").agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n")).toLocalIterator():
+        out[r["kind"]] = (np.array(r["k"], np.int64), np.array(r["n"], np.int64))
     return out
 
 
 def _stored(ratio: np.ndarray) -> np.ndarray:
-    return np.round(np.clip(ratio, -LIMIT, LIMIT) / UNIT).astype(np.int8)
+    """Of floats that are overwritten."""
+    np.clip(ratio, -LIMIT, LIMIT, out=ratio)
+    ratio /= UNIT
+    return np.rint(ratio, out=ratio).astype(np.int8)
 
 
-def _against(seeds: np.ndarray, natural: np.ndarray) -> np.ndarray:
-    return _stored(conditional(seeds) - natural)
+def _dense(sums: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(SIZE**ORDER, np.float32)
+    out[sums[0]] = sums[1]
+    return out
 
 
 def _is(chars: str) -> np.ndarray:
@@ -154,21 +163,36 @@ def ratios(corpus: np.ndarray, found: np.ndarray | None = None) -> tuple[np.ndar
     rulings have too. Its marks, but "[" and "_", are held against how rare they are in the corpus whatever stands before
     them, as in their usual places they may be residue for the most part.
     """
-    natural = conditional(corpus)
-    lines = lambda seeds: count([f"\n{t}\n" for t in seeds])
-    passages = lines(residue_seeds.passages())
-    single = corpus.reshape(-1, SIZE).sum(0)
-    rare = np.tile(np.log((single + 1) / (single.sum() + SIZE)).astype(np.float32), SIZE ** (ORDER - 1))
-    marks = np.where(np.tile(_is(BRACKETS) & ~_is("[]_"), SIZE ** (ORDER - 1)), rare, natural)
-    if found is not None and found.sum():
-        passages = passages + found * (SELF * passages.sum() / found.sum())
-    size, shapes = SIZE - 25, _shapes()
-    seeds = count([x for t in residue_seeds.placeholders() for x in (f"ab {t} ab", f"ab\n{t}\nab", f"ab: {t}, ab", f"ab ({t}).", f"\n\n{t} ab. ab")])
-    shaped = conditional(np.bincount(shapes, seeds, size**ORDER), size)[shapes]
-    fields = np.where(_of_marks(), _stored(np.where(_holds_any("["), conditional(seeds), shaped) - marks), 0).astype(np.int8)
-    # words count only as the samples have them; a symbol without a number of its own says nothing
-    words = count([f" {t} " for t in residue_seeds.literals()])
-    return fields, np.where(words > 0, _against(words, natural), np.minimum(_against(words, natural), 0)), np.where(np.arange(SIZE**ORDER) % SIZE == 27, 0, _against(passages, natural)).astype(np.int8)
+    natural, last = conditional(corpus), np.arange(SIZE**ORDER, dtype=np.int32) % SIZE
+    single = corpus.reshape(-1, SIZE).sum(0, dtype=np.float64)
+
+    def against(counts: np.ndarray) -> np.ndarray:
+        x = conditional(counts)
+        x -= natural
+        return _stored(x)
+
+    passages = count([f"\n{t}\n" for t in residue_seeds.passages()]).astype(np.float32)
+    if found is not None and found.any():
+        passages += found * (SELF * passages.sum() / found.sum())
+    passages = against(passages)
+    passages[last == 27] = 0  # a symbol without a number of its own says nothing
+    words = count([f" {t} " for t in residue_seeds.literals()]).astype(np.float32)
+    literals = against(words)
+    literals[(words == 0) & (literals > 0)] = 0  # words count only as the samples have them
+    del words
+    marks = natural.reshape(-1, SIZE)
+    for c in np.flatnonzero(_is(BRACKETS) & ~_is("[]_")).tolist():
+        marks[:, c] = np.log((single[c] + 1) / (single.sum() + SIZE))
+    seeds = count([x for t in residue_seeds.placeholders() for x in (f"ab {t} ab", f"ab\n{t}\nab", f"ab: {t}, ab", f"ab ({t}).", f"\n\n{t} ab. ab")]).astype(np.float32)
+    size, shapes, at = SIZE - 25, _shapes(), np.flatnonzero(seeds)
+    shaped, square = conditional(np.bincount(shapes[at], seeds[at], size**ORDER), size), _holds_any("[")
+    seeds = conditional(seeds)
+    np.copyto(seeds, shaped[shapes], where=~square)
+    del shapes
+    seeds -= natural
+    fields = _stored(seeds)
+    fields[~_of_marks()] = 0
+    return fields, literals, passages
 
 
 def score(ratio: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -265,11 +289,12 @@ def residue(documents: DataFrame, corpus: np.ndarray | None = None) -> DataFrame
     """
     context, found = documents.sparkSession.sparkContext, None
     if corpus is None:
-        corpus = corpus_counts(documents)[0]
+        corpus = _dense(corpus_counts(documents)[0])
         first = context.broadcast(ratios(corpus))
-        with_residue, found = corpus_counts(documents, lambda t: _strict(t, *first.value), 2)
-        corpus -= with_residue
+        (at, n), sentences = corpus_counts(documents, lambda t: _strict(t, *first.value), 2)
+        corpus[at] = np.maximum(corpus[at] - n, 0)
         first.unpersist()
+        found = _dense(sentences)
     shared = context.broadcast(ratios(corpus, found))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

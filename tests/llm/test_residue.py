@@ -42,8 +42,8 @@ def test_empty(spark):
 def test_counts_equal_brute_force(spark):
     texts = ["Abcà 12", None, "", "xyz {{a}}"]
     (got,) = residue.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert (got == residue.count([t for t in texts if t])).all()
-    assert got.sum() == sum(len(t) for t in texts if t)
+    assert (residue._dense(got) == residue.count([t for t in texts if t])).all()
+    assert got[1].sum() == sum(len(t) for t in texts if t)
 
 
 def test_conditional_probabilities_sum_to_one(counts):
