@@ -1,15 +1,21 @@
 """Evaluation texts in a corpus: latent semantic retrieval, then exact checks.
 
 Terms are the word trigrams of the test items, weighted by their IDF over all passages (blocks of WINDOW words) of the
-corpus. A distributed randomised SVD of the items' TF-IDF passages gives a latent space; windows of every document are
-compared by cosine with every passage and prompt there. The items are a stated query set of bounded size that every task
-holds. No weight there lies below FLOOR of the greatest, and none grows beyond CAP, so that neither the size of the corpus nor
-the number of copies in it decides what is compared. Pairs above COVER are aligned by longest common subsequence of words; a case needs SPAN words of the item found in
-order, by weight, so that stock phrases with other content between them don't count.
+corpus. A distributed randomised SVD of the items' TF-IDF passages gives a latent space of half as many dimensions as there
+are texts; windows of every document are compared with every passage and prompt there. What the space keeps of a text is
+known, so that the latent product divided by it estimates the cosine in full; windows above LATENT are candidates, and those
+whose exact cosine reaches COVER are compared in words. Items are taken in blocks of bounded size that every task holds, one after
+another, however many there are. No weight lies below FLOOR of the greatest, and none grows beyond CAP, so that neither the
+size of the corpus nor the number of copies in it decides what is compared.
+
+Candidates are aligned by longest common subsequence of words; a case needs SPAN words of the item found in order, by weight, so
+that stock phrases with other content between them don't count. A paraphrase, of which less is found, counts if the document
+gives the item's answer as well.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,10 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, union_all
 
 GRAM, WINDOW, STEP = 3, 24, 8
-RANK, POWER, SEED = 512, 1, 11
+#: Dimensions of the latent space as a share of the texts, but so many at least; more for the iteration; passes after the first.
+REDUCED, LEAST_RANK, OVER, POWER, SEED = 0.5, 64, 8, 1, 11
+#: Texts (passages and prompts) of a block of items.
+BLOCK_TEXTS = 640
+#: Least estimate by the latent space, on COVER's scale, of a candidate.
+LATENT = 0.38
 #: Least cosine of a window and a text, as a share of the cosine that a window copied from the text would have.
 COVER = 0.38
 #: Greatest IDF that counts, also for words that no item has; the least weight of an item's term in COVER as a share of it. 12 of a window's
@@ -31,12 +42,12 @@ COVER = 0.38
 CAP, FLOOR = 9.0, 0.75
 #: Consecutive words of an item that make a case; the share of their weight found in order: alone, and for pairs with a high cosine.
 SPAN, FOUND, FOUND_NEAR, NEAR = 25, 0.9, 0.84, 0.6
+#: Share and cosine that are enough if the document gives the answer.
+FOUND_ANSWERED, NEAR_ANSWERED = 0.78, 0.5
 #: Words of the document about a window that are aligned.
 AROUND = 40
 #: Windows of a document that are compared at a time.
 GROUP = 64
-#: The items are a query set of bounded size: more words than this in all are refused.
-MAX_WORDS = 2_000_000
 
 _JOIN, _WORD = re.compile(r"(?<=\w)[-‐‑\xad]\s*(?=\w)"), re.compile(r"\w+")
 
@@ -79,8 +90,6 @@ class Items:
                     if i not in mine:
                         mine.append(i)
         answers = [words(r["answer"] or "") for r in rows]
-        if sum(map(len, by)) + sum(map(len, answers)) > MAX_WORDS:
-            raise ValueError(f"more than {MAX_WORDS} words of test items: search them in parts")
         # answers' words have numbers, so that they can be found in documents, but make no terms
         voc = {w: k + 1 for k, w in enumerate(sorted({w for t in [*by, *answers] for w in t}))}
         out = Items([r["item_id"] for r in rows], answers, voc)
@@ -158,12 +167,13 @@ def _tf_idf(rows: list[np.ndarray], idf: np.ndarray) -> list[tuple[np.ndarray, n
 
 
 def latent_space(spark, items: Items, idf: np.ndarray) -> np.ndarray:
-    """(terms + 1, rank) orthonormal basis by randomised SVD; each pass adds A'AQ up over the partitions of the passages."""
+    """(terms + 1, rank) orthonormal basis by randomised SVD: in each pass every partition of the texts makes its part of A'AQ,
+    and the parts are added up by term in the executors."""
     nt = items.terms.size
     texts = _tf_idf(items.rows, gate(idf))
-    rank = min(RANK, len(texts), nt)
-    width = min(rank + 8, len(texts), nt)
-    passages = spark.createDataFrame(pd.DataFrame({"text": range(len(texts))})).repartition(4)
+    rank = min(max(math.ceil(REDUCED * len(texts)), LEAST_RANK), len(texts), nt)
+    width = min(rank + OVER, len(texts), nt)
+    passages = spark.createDataFrame(pd.DataFrame({"text": range(len(texts))})).repartition(max(1, len(texts) // 128), "text")
     q = np.random.default_rng(SEED).standard_normal((nt, width)).astype(np.float32)
     for _ in range(1 + POWER):
         held = spark.sparkContext.broadcast(q)
@@ -171,6 +181,8 @@ def latent_space(spark, items: Items, idf: np.ndarray) -> np.ndarray:
         def product(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 own = [texts[k] for k in b.column("text").to_pylist()]
+                if not own:
+                    continue
                 cols = np.unique(np.concatenate([t for t, _ in own]))
                 a = np.zeros((len(own), cols.size), np.float32)
                 for i, (t, v) in enumerate(own):
@@ -179,9 +191,15 @@ def latent_space(spark, items: Items, idf: np.ndarray) -> np.ndarray:
                 for i in range(0, cols.size, 4096):
                     yield pa.RecordBatch.from_pydict({"term": pa.array(cols[i : i + 4096], pa.int32()), "z": pa.array([x.tobytes() for x in z[i : i + 4096]], pa.binary())})
 
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                z = [np.sum([np.frombuffer(x, np.float32) for x in row], 0).tobytes() for row in b.column("zs").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"term": b.column("term"), "z": pa.array(z, pa.binary())})
+
+        sums = passages.mapInArrow(product, "term int, z binary").groupBy("term").agg(F.collect_list("z").alias("zs")).mapInArrow(added, "term int, z binary")
         q = np.zeros((nt, width), np.float32)
-        for row in passages.mapInArrow(product, "term int, z binary").toLocalIterator():
-            q[row["term"]] += np.frombuffer(row["z"], np.float32)
+        for row in sums.toLocalIterator():
+            q[row["term"]] = np.frombuffer(row["z"], np.float32)
         held.unpersist()
         held.destroy()
         q = _orthonormal(q)
@@ -251,9 +269,10 @@ class Search:
     unseen: float
     weight: np.ndarray
     space: np.ndarray
-    #: What a term adds to a window's cosines with all texts; with very many texts, to its latent vector instead.
+    #: What a term adds to a window's latent vector; the texts' vectors by what the space keeps of them; the texts that have each term.
     adds: np.ndarray = None
-    texts: np.ndarray | None = None
+    texts: np.ndarray = None
+    member: np.ndarray = None
     #: All texts' words one after another; where each begins; how many words are to be found at once; the weight of that many from each word on.
     flat: np.ndarray = None
     first: np.ndarray = None
@@ -263,13 +282,15 @@ class Search:
     def __post_init__(self) -> None:
         self.gate = gate(self.idf)
         # a term counts once for a text, else a phrase that the text repeats would make up for terms that are missing
-        texts = np.array([self.gate[r] @ self.space[r] for r in map(np.unique, self.items.rows)], dtype=np.float32)
+        own, nt = [np.unique(r) for r in self.items.rows], self.idf.size - 1
         self.adds = self.gate[:, None].astype(np.float32) * self.space
+        latent, whole = np.array([self.gate[r] @ self.space[r] for r in own]), np.array([(self.gate[r] ** 2).sum() for r in own])
+        kept = (latent**2).sum(1) / np.maximum(whole, 1e-9)
+        self.texts = np.ascontiguousarray((latent / np.maximum(kept, 1e-3)[:, None]).T, dtype=np.float32)
         self.space = None
-        if len(texts) <= 2 * self.adds.shape[1]:
-            self.adds = self.adds @ texts.T
-        else:
-            self.texts = texts
+        self.member = np.zeros((nt + 1, len(own)), bool)
+        for k, r in enumerate(own):
+            self.member[r[r < nt], k] = True
         self.size = np.array([x.size for x in self.items.ids])
         self.flat, self.first, self.span = np.concatenate(self.items.ids), np.cumsum(self.size) - self.size, np.minimum(SPAN, self.size)
         self.full = np.full(self.flat.size, np.inf)
@@ -277,7 +298,8 @@ class Search:
             self.full[a : a + x.size - k + 1] = np.maximum(np.convolve(self.weight[x], np.ones(k), "valid"), 1e-9)
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(first word, text, cosine by the best attainable) for windows of one document."""
+        """(first word, text, cosine by the best attainable) for windows of one document: those near by the latent space whose exact
+        cosine reaches COVER, too."""
         size = WINDOW - GRAM + 1
         t = self.items.term(grams(ids))
         if not t.size:
@@ -300,9 +322,14 @@ class Search:
             at = at[t[at] < self.idf.size - 1]
             rows = np.take(self.adds, t[at], axis=0, out=self._room()[: at.size], mode="clip")
             x = ((at >= a[:, None]) & (at < b[:, None])).astype(np.float32) @ rows
-            cover = (x if self.texts is None else x @ self.texts.T) / energy[i : i + GROUP, None]
-            for j, k in zip(*np.nonzero(cover >= COVER), strict=True):
-                yield int(a[j]), int(k), float(cover[j, k])
+            j, k = np.nonzero(x @ self.texts >= LATENT * energy[i : i + GROUP, None])
+            if not j.size:
+                continue
+            inside = np.minimum(a[j, None] + np.arange(size), t.size - 1)
+            held = np.where(a[j, None] + np.arange(size) < b[j, None], t[inside], self.idf.size - 1)
+            cover = (self.member[held, k[:, None]] * self.gate[held] ** 2).sum(1) / energy[i + j]
+            for z in np.flatnonzero(cover >= COVER).tolist():
+                yield int(a[j[z]]), int(k[z]), float(cover[z])
 
     def _room(self) -> np.ndarray:
         if getattr(self, "_buffer", None) is None:
@@ -329,36 +356,56 @@ class Search:
         own = float((self.idf[t[of]] ** 2).sum())
         return own / max(own + self.unseen**2 * float((~of).sum()), 1e-9)
 
-    def found(self, ids: np.ndarray) -> dict[int, float]:
-        """Best share by text, of the texts that the document gives away."""
-        best: dict[int, float] = {}
+    def found(self, ids: np.ndarray) -> dict[int, tuple[bool, float]]:
+        """By text, of the texts of which the document has FOUND_ANSWERED: whether that is enough without the answer; the share."""
+        best: dict[int, tuple[bool, float]] = {}
         some, worth = list(self.candidates(ids)), []
         for i in range(0, len(some), GROUP):
             part = some[i : i + GROUP]
             windows, which = np.unique([at for at, _, _ in part], return_inverse=True)
             most = self.most(np.array([k for _, k, _ in part]), which, [ids[max(0, at - AROUND) : at + WINDOW + AROUND] for at in windows.tolist()])
-            worth += [c for c, m in zip(part, most.tolist(), strict=True) if m >= FOUND_NEAR - 1e-9]
+            worth += [c for c, m in zip(part, most.tolist(), strict=True) if m >= FOUND_ANSWERED - 1e-9]
         for at, k, _ in sorted(worth, key=lambda c: -c[2]):
-            if k not in best:
+            if not best.get(k, (False,))[0]:
                 share = span_found(self.items.ids[k], ids[max(0, at - AROUND) : at + WINDOW + AROUND], self.weight)
-                if share >= FOUND or share >= FOUND_NEAR and self.near(ids[at : at + WINDOW], k) >= NEAR:
-                    best[k] = share
+                near = self.near(ids[at : at + WINDOW], k) if FOUND_ANSWERED <= share < FOUND else 1.0
+                if share >= FOUND_ANSWERED and near >= NEAR_ANSWERED:
+                    sure = share >= FOUND or share >= FOUND_NEAR and near >= NEAR
+                    best[k] = max((sure, share), best.get(k, (False, 0.0)))
         return best
 
 
+def _blocks(items: DataFrame) -> Iterator[list]:
+    """Items in blocks of BLOCK_TEXTS texts at most; the driver holds one at a time."""
+    held: list = []
+    for r in items.select("item_id", "prompt", "passage", "answer").toLocalIterator():
+        held.append(r)
+        if 2 * len(held) + 2 > BLOCK_TEXTS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, share, answered: one row per document of documents(doc_id, text) and item of
     items(item_id, prompt, passage, answer) of which it contains SPAN consecutive words of passage or prompt.
 
-    answered: the item's answer stands in the document, all its words in order and together. Null and empty texts contain
-    nothing; repeated documents and items each come out; texts are searched whole, however long. Items shorter than SPAN
-    words count if found whole. Empty tables give no rows.
+    answered: the item's answer stands in the document, all its words in order and together; less of the words is then enough.
+    Null and empty texts contain nothing; repeated documents and items each come out; texts are searched whole, however long.
+    Items shorter than SPAN words count if found whole. Empty tables give no rows.
     """
+    parts = [_leaks(documents, Items.of(block)) for block in _blocks(items)]
+    return union_all(parts) if parts else documents.sparkSession.createDataFrame([], SCHEMA)
+
+
+SCHEMA = "doc_id bigint, item_id string, share double, answered boolean"
+
+
+def _leaks(documents: DataFrame, own: Items) -> DataFrame:
     spark = documents.sparkSession
-    own = Items.of(items.select("item_id", "prompt", "passage", "answer").collect())
-    schema = "doc_id bigint, item_id string, share double, answered boolean"
     if not own.terms.size:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     voc = own.vocabulary
 
     def encoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +414,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     encoded = cut(documents.select("doc_id", "text").mapInArrow(encoding, "doc_id bigint, ids binary"))
     if encoded.isEmpty():
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     idf, unseen, weight = term_weights(encoded, own)
     shared = spark.sparkContext.broadcast(Search(own, idf, unseen, weight, latent_space(spark, own, idf)))
 
@@ -377,13 +424,16 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), _docs(b, len(voc)), strict=True):
-                by: dict[int, float] = {}
-                for k, share in s.found(ids).items():
+                by: dict[int, tuple[bool, float]] = {}
+                for k, x in s.found(ids).items():
                     for i in s.items.owners[k]:
-                        by[i] = max(share, by.get(i, 0.0))
+                        by[i] = max(x, by.get(i, x))
                 text = f" {' '.join(map(str, ids.tolist()))} " if by else ""
-                out += [(doc, s.items.names[i], share, bool(answers[i]) and " 0 " not in f" {answers[i]} " and f" {answers[i]} " in text) for i, share in by.items()]
+                for i, (sure, share) in by.items():
+                    answered = bool(answers[i]) and " 0 " not in f" {answers[i]} " and f" {answers[i]} " in text
+                    if sure or answered:
+                        out.append((doc, s.items.names[i], share, answered))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], ["doc_id", "item_id", "share", "answered"])
 
-    return encoded.mapInArrow(search, schema)
+    return encoded.mapInArrow(search, SCHEMA)
