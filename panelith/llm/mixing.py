@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Sources are few; more than this are refused.
 MAX_SOURCES = 10_000
-STEPS, PRECISION, BINS = 60, 1e-9, 4096
+STEPS, PRECISION, BINS = 200, 1e-9, 4096
 
 
 @lru_cache(maxsize=2)
@@ -36,12 +38,16 @@ def _encoding(path: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """documents(doc_id, source, text) as doc_id, source, n_tokens; a null text has none."""
+    """documents(doc_id, source, text) as doc_id, source, n_tokens; a null text has none. The vocabulary, a file
+    of the driver's, is sent to the executors with the job."""
+
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary).encode_ordinary
+        enc = _encoding(SparkFiles.get(name))
         for b in batches:
-            n = [len(enc(t)) if t else 0 for t in b.column("text").to_pylist()]
+            n = [len(x) for x in enc.encode_ordinary_batch([t or "" for t in b.column("text").to_pylist()], num_threads=1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
@@ -117,6 +123,8 @@ def mix(documents: DataFrame, targets: DataFrame, size: float = 1.0, vocabulary:
             (high if gap > 0 else low)[s] = dual[s]
             step = dual[s] - gap / r["g"] if r["g"] else math.inf
             dual[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
+    if open_:
+        raise RuntimeError(f"no rates found in {STEPS} steps for {sorted(open_)}")
     if not goals:
         copies = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint, copies bigint")
     else:

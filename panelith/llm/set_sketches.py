@@ -1,15 +1,18 @@
 """Distinct counts from logarithmic-base set registers.
 
-Each identifier falls by its hash into one of REGISTERS registers with a value 1 + floor(log_BASE(SCALE / x)), x exponential by
+Each identifier falls by its hash into one of a number of registers with a value 1 + floor(log_base(scale / x)), x exponential by
 its hash; a register keeps the largest. Registers of a union are the larger of both, so partial results of days, files or
 groups merge without loss. With n different identifiers a register stays at or below k with probability
-exp(-n/REGISTERS (1 - exp(-SCALE BASE^-k))): counts, and for pairs union, intersection and Jaccard, are its maximum-likelihood
-estimates. One register an identifier, rather than all, is touched: the law is the same, the work a REGISTERS-th.
+exp(-n/registers (1 - exp(-scale base^-k))): counts, and for pairs union, intersection and Jaccard, are its maximum-likelihood
+estimates. One register an identifier, rather than all, is touched: the law is the same, the work less by their
+number. Base and number of registers are parameters (Law).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -17,41 +20,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REGISTERS, BASE, SCALE = 4096, 1.05, 20.0
-#: Largest value a register can have, with 52 bits of hash.
-TOP = int(np.ceil(np.log(SCALE * 2.0**53) / np.log(BASE))) + 2
 #: Rows that a task sketches at a time.
 CHUNK = 300_000
-#: Relative standard error of a count, and of two of them what is stated as the bound.
-ERROR = float(np.sqrt((BASE + 1) / (BASE - 1) * np.log(BASE) - 1) / np.sqrt(REGISTERS))
-_AT = np.arange(TOP + 1)
-#: Chance that an identifier raises a register above k.
-_ABOVE = 1 - np.exp(-SCALE * BASE ** -_AT.astype(float))
 
 
-def observe(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Law:
+    """How registers are filled. registers: their number, a power of 2, 65,536 at most; base: of the logarithm, above 1; scale: values
+    start where an exponential draw of this size lies. A smaller base costs larger values and tells more."""
+
+    registers: int = 4096
+    base: float = 1.05
+    scale: float = 20.0
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.registers <= 1 << 16 or self.registers & (self.registers - 1) or self.base <= 1 or self.top >= 1 << 16:
+            raise ValueError("registers must be a power of 2 up to 65,536, and base above 1 by more than 0.0007")
+
+    @property
+    def top(self) -> int:
+        """Largest value a register can have, with 52 bits of hash."""
+        return int(np.ceil(np.log(self.scale * 2.0**53) / np.log(self.base))) + 2
+
+    @property
+    def bits(self) -> int:
+        """Width of a value."""
+        return int(self.top).bit_length()
+
+    @property
+    def error(self) -> float:
+        """Relative standard error of a count; two of them are what is stated as the bound."""
+        return float(np.sqrt((self.base + 1) / (self.base - 1) * np.log(self.base) - 1) / np.sqrt(self.registers))
+
+    def above(self) -> np.ndarray:
+        """Chance that an identifier raises a register above 0, 1, ..., top."""
+        return 1 - np.exp(-self.scale * self.base ** -np.arange(self.top + 1).astype(float))
+
+
+LAW = Law()
+ERROR = LAW.error
+
+
+def observe(h: np.ndarray, law: Law = LAW) -> tuple[np.ndarray, np.ndarray]:
     """Register and value for 64-bit hashes."""
     h = h.view(np.uint64)
     u = ((h >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
-    k = 1 + np.floor(np.log(SCALE / -np.log(u)) / np.log(BASE))
-    return (h & np.uint64(REGISTERS - 1)).astype(np.int64), np.clip(k, 1, TOP).astype(np.int64)
+    k = 1 + np.floor(np.log(law.scale / -np.log(u)) / np.log(law.base))
+    return (h & np.uint64(law.registers - 1)).astype(np.int64), np.clip(k, 1, law.top).astype(np.int64)
 
 
-def estimate(registers: list[np.ndarray]) -> np.ndarray:
+def estimate(registers: list[np.ndarray], law: Law = LAW) -> np.ndarray:
     """Number of different identifiers for each (register, value) list, by maximum likelihood.
 
     While few registers are taken their number alone decides; else Newton steps on the logarithm of the count.
     """
+    above = law.above()
     taken = np.array([len(r) for r in registers], dtype=float)
-    n = -REGISTERS * np.log1p(-np.minimum(taken, REGISTERS - 0.5) / REGISTERS)
-    full = np.flatnonzero(taken > REGISTERS / 20)
+    n = -law.registers * np.log1p(-np.minimum(taken, law.registers - 0.5) / law.registers)
+    full = np.flatnonzero(taken > law.registers / 20)
     for i in range(0, full.size, 256):
         part = full[i : i + 256]
-        c = np.stack([np.bincount(registers[j][:, 1], minlength=TOP + 1) for j in part]).astype(float)
-        c[:, 0] = REGISTERS - taken[part]
+        c = np.stack([np.bincount(registers[j][:, 1], minlength=law.top + 1) for j in part]).astype(float)
+        c[:, 0] = law.registers - taken[part]
         used = np.flatnonzero(c.sum(0))
-        c, hi, lo = c[:, used], _ABOVE[used], np.where(used > 0, _ABOVE[np.maximum(used - 1, 0)], np.inf)
-        x = np.maximum(n[part], 1.0) / REGISTERS
+        c, hi, lo = c[:, used], above[used], np.where(used > 0, above[np.maximum(used - 1, 0)], np.inf)
+        x = np.maximum(n[part], 1.0) / law.registers
         gap = np.where(used > 0, lo - hi, 0.0)
         for _ in range(40):
             # each register adds log(exp(-x hi) - exp(-x lo)); its slope is -hi + gap / (exp(x gap) - 1)
@@ -66,37 +99,44 @@ def estimate(registers: list[np.ndarray]) -> np.ndarray:
             x = x * np.exp(step)
             if np.abs(step).max() < 1e-9:
                 break
-        n[part] = x * REGISTERS
+        n[part] = x * law.registers
     return n
 
 
-def joint(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """Union, intersection and Jaccard of two (register, value) lists: Newton steps for the sizes of a only, b only and both
-    under their joint law, on logarithms."""
-    va, vb = np.zeros(REGISTERS, np.int64), np.zeros(REGISTERS, np.int64)
+def joint(a: np.ndarray, b: np.ndarray, law: Law = LAW) -> tuple[float, float, float, float, float, float]:
+    """Union, intersection and Jaccard of two (register, value) lists, and the standard error of each: Newton steps for the sizes
+    of a only, b only and both under their joint law, on logarithms. The errors follow from the likelihood's curvature at its top
+    (the observed information), for sizes that are all but none from the error of a count."""
+    above, registers = law.above(), law.registers
+    va, vb = np.zeros(registers, np.int64), np.zeros(registers, np.int64)
     va[a[:, 0]], vb[b[:, 0]] = a[:, 1], b[:, 1]
     pairs, c = np.unique(np.stack([va, vb]), axis=1, return_counts=True)
-    na, nb = estimate([a, b])
-    nu = estimate([_union(a, b)])[0]
+    na, nb = estimate([a, b], law)
+    nu = estimate([_union(a, b)], law)[0]
     both = min(max(na + nb - nu, 0.001 * min(na, nb), 0.5), 0.999 * min(na, nb) + 0.5)
     t = np.log(np.maximum([na - both, nb - both, both], 0.25))
-    below = lambda v: np.where(v > 0, _ABOVE[np.maximum(v - 1, 0)], np.inf)
-    ha, hb, la, lb = _ABOVE[pairs[0]], _ABOVE[pairs[1]], below(pairs[0]), below(pairs[1])
+    below = lambda v: np.where(v > 0, above[np.maximum(v - 1, 0)], np.inf)
+    ha, hb, la, lb = above[pairs[0]], above[pairs[1]], below(pairs[0]), below(pairs[1])
 
     def value(t: np.ndarray) -> float:
-        x, y, z = np.exp(t) / REGISTERS
+        x, y, z = np.exp(t) / registers
         f = lambda p, q: np.exp(-x * p - y * q - z * np.maximum(p, q))
         prob = f(ha, hb) - f(la, hb) - f(ha, lb) + f(la, lb)
         return float((c * np.log(np.maximum(prob, 1e-300))).sum())
 
-    best, h = value(t), 1e-3
-    for _ in range(60):
+    h = 1e-3
+
+    def curve(t: np.ndarray, best: float) -> tuple[np.ndarray, np.ndarray]:
         e = np.eye(3) * h
         up, down = np.array([value(t + x) for x in e]), np.array([value(t - x) for x in e])
-        grad = (up - down) / (2 * h)
         hess = np.diag((up - 2 * best + down) / h**2)
         for i, j in combinations(range(3), 2):
             hess[i, j] = hess[j, i] = (value(t + e[i] + e[j]) - value(t + e[i] - e[j]) - value(t - e[i] + e[j]) + value(t - e[i] - e[j])) / (4 * h * h)
+        return (up - down) / (2 * h), hess
+
+    best = value(t)
+    for _ in range(60):
+        grad, hess = curve(t, best)
         w, v = np.linalg.eigh(hess)
         step = np.clip(v @ ((v.T @ grad) / np.maximum(np.abs(w), 1e-3)), -1, 1)
         while (new := value(t + step)) < best and np.abs(step).max() > 1e-7:
@@ -105,7 +145,13 @@ def joint(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
             break
         t, best = t + step, new
     x, y, z = np.exp(t)
-    return float(x + y + z), float(z), float(z / (x + y + z))
+    n = x + y + z
+    # by the logarithms of the sizes; information below that of a size that doesn't matter is taken as that
+    w, v = np.linalg.eigh(-curve(t, best)[1])
+    cov = (v / np.maximum(w, 1e-2)) @ v.T
+    slopes = np.array([[x, y, z], [0, 0, z], [-x * z / n**2, -y * z / n**2, z / n - z * z / n**2]])
+    sizes = np.minimum(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", slopes, cov, slopes), 0)), [law.error * n + 1, law.error * n + 1, law.error + 1 / n])
+    return float(n), float(z), float(z / n), *map(float, sizes)
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,7 +169,7 @@ def unpack(b: bytes) -> np.ndarray:
     return np.stack([x >> 16, x & 65_535], 1)
 
 
-def sketches(rows: DataFrame, dims: list[str], fields: list[str]) -> DataFrame:
+def sketches(rows: DataFrame, dims: list[str], fields: list[str], law: Law = LAW) -> DataFrame:
     """level INT, dims as STRING, field, registers BINARY: a sketch of each field's different non-null values for every group of
     every combination of dims, of the dims that level names by their bits; the others are null.
 
@@ -141,17 +187,17 @@ def sketches(rows: DataFrame, dims: list[str], fields: list[str]) -> DataFrame:
         for f in fields:
             col = table.column(f).combine_chunks()
             ok = ~col.is_null().to_numpy(zero_copy_only=False)
-            reg, val = observe(col.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+            reg, val = observe(col.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), law)
             for level in levels:
                 group = np.zeros(reg.size, np.int64)
                 use = [i for i in range(len(dims)) if level >> i & 1]
                 for i in use:
                     group = group * len(names[i]) + index[i][ok]
-                code = np.sort((group * REGISTERS + reg) * 1024 + val)
-                code = code[np.r_[code[1:] >> 10 != code[:-1] >> 10, True][: code.size]]
-                g = code >> 10
-                g, r = g // REGISTERS, g % REGISTERS
-                packed = (r * 65_536 + (code & 1023)).astype(np.uint32)
+                code = np.sort((group * law.registers + reg) << law.bits | val)
+                code = code[np.r_[code[1:] >> law.bits != code[:-1] >> law.bits, True][: code.size]]
+                g = code >> law.bits
+                g, r = g // law.registers, g % law.registers
+                packed = (r * 65_536 + (code & (1 << law.bits) - 1)).astype(np.uint32)
                 cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: g.size])
                 out: dict[str, list] = {d: [None] * cut.size for d in dims}
                 rest = g[cut].copy()
@@ -176,7 +222,8 @@ def sketches(rows: DataFrame, dims: list[str], fields: list[str]) -> DataFrame:
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """One sketch for each group, the registers' maxima over its parts, of which a task sends at most one for CHUNK rows."""
+    """One sketch for each group, the registers' maxima over its parts, of which a task sends at most one for CHUNK rows; put together
+    within salts first, so that no task has all parts of a group that every task has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, first = None, [], None
@@ -216,33 +263,35 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
         if key is not None:
             yield closed()
 
-    at = parts.repartition(*keys).sortWithinPartitions(*keys)
-    return at.mapInArrow(run, parts.schema)
+    salt = F.pmod(F.xxhash64("registers"), F.lit(max(2, math.isqrt(parts.rdd.getNumPartitions()))))
+    some = parts.repartition(*keys, salt).sortWithinPartitions(*keys).mapInArrow(run, parts.schema)
+    return some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, parts.schema)
 
 
-def counts(sketched: DataFrame) -> DataFrame:
+def counts(sketched: DataFrame, law: Law = LAW) -> DataFrame:
     """sketched with its registers replaced by estimate, low and high: the count and its bound of two standard errors."""
     names = [c for c in sketched.columns if c != "registers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = estimate([unpack(x) for x in b.column("registers").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(n), pa.array(n * (1 - 2 * ERROR)), pa.array(n * (1 + 2 * ERROR))], [*names, "estimate", "low", "high"])
+            n = estimate([unpack(x) for x in b.column("registers").to_pylist()], law)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(n), pa.array(n * (1 - 2 * law.error)), pa.array(n * (1 + 2 * law.error))], [*names, "estimate", "low", "high"])
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in sketched.schema.fields if f.name != "registers"] + ["estimate double", "low double", "high double"])
     return sketched.mapInArrow(run, schema)
 
 
-def overlaps(pairs: DataFrame) -> DataFrame:
-    """pairs (with registers a and b) with union_size, intersection_size and jaccard by joint maximum likelihood, and error, the
-    standard error stated for the union relative to it; that of the intersection and of jaccard is the same in absolute terms."""
+def overlaps(pairs: DataFrame, law: Law = LAW) -> DataFrame:
+    """pairs (with registers a and b) with union_size, intersection_size and jaccard by joint maximum likelihood, and the standard error
+    of each, absolute: union_error, intersection_error, jaccard_error."""
     names = [c for c in pairs.columns if c not in ("a", "b")]
+    made = ["union_size", "intersection_size", "jaccard", "union_error", "intersection_error", "jaccard_error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            got = [joint(unpack(p), unpack(q)) for p, q in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
-            u, i, j = (list(v) for v in zip(*got, strict=True)) if got else ([], [], [])
-            yield pa.RecordBatch.from_arrays([*[x.column(c) for c in names], pa.array(u, pa.float64()), pa.array(i, pa.float64()), pa.array(j, pa.float64()), pa.array([ERROR] * len(u), pa.float64())], [*names, "union_size", "intersection_size", "jaccard", "error"])
+            got = [joint(unpack(p), unpack(q), law) for p, q in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
+            cols = list(zip(*got, strict=True)) if got else [[]] * len(made)
+            yield pa.RecordBatch.from_arrays([*[x.column(c) for c in names], *[pa.array(v, pa.float64()) for v in cols]], [*names, *made])
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name not in ("a", "b")] + ["union_size double", "intersection_size double", "jaccard double", "error double"])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name not in ("a", "b")] + [f"{c} double" for c in made])
     return pairs.mapInArrow(run, schema)

@@ -20,9 +20,31 @@ def test_counts_within_stated_error(n):
 @pytest.mark.parametrize(("a", "b", "both"), [(5000, 9000, 4000), (40_000, 300, 200), (100, 100, 0), (0, 0, 700)])
 def test_joint_estimates(a, b, both):
     h = np.random.default_rng(a).integers(-(2**63), 2**63 - 1, a + b + both)
-    u, i, j = set_sketches.joint(sketch(np.r_[h[:a], h[a + b :]]), sketch(h[a:]))
+    u, i, j, eu, ei, ej = set_sketches.joint(sketch(np.r_[h[:a], h[a + b :]]), sketch(h[a:]))
     n = a + b + both
-    assert abs(u - n) <= 4 * set_sketches.ERROR * n and abs(i - both) <= 4 * set_sketches.ERROR * n + 1 and abs(j - both / n) < 0.07
+    assert abs(u - n) <= 4 * eu + 1 and abs(i - both) <= 4 * ei + 1 and abs(j - both / n) <= 4 * ej + 1 / n
+    assert max(eu, ei) <= 1.2 * set_sketches.ERROR * n + 1 and ej <= 1.2 * set_sketches.ERROR + 1 / n
+
+
+def test_stated_errors_of_pairs_are_those_observed():
+    rng, seen = np.random.default_rng(8), []
+    for _ in range(40):
+        h = rng.integers(-(2**63), 2**63 - 1, 18_000)
+        u, i, j, eu, ei, ej = set_sketches.joint(sketch(h[:12_000]), sketch(h[6000:]))
+        seen.append([(u - 18_000) / eu, (i - 6000) / ei, (j - 1 / 3) / ej])
+    assert (np.abs(np.std(seen, 0) - 1) < 0.4).all()
+
+
+@pytest.mark.parametrize(("base", "registers"), [(1.01, 4096), (2.0, 4096), (1.05, 256), (1.2, 65_536)])
+def test_other_bases_and_registers(spark, base, registers):
+    """Values beyond a byte or ten bits, and none but a few, keep their register and their error."""
+    law = set_sketches.Law(registers, base)
+    df = spark.range(300_000).selectExpr("id % 3 AS g", "id * 7 AS a")
+    got = {r["g"]: r for r in set_sketches.counts(set_sketches.sketches(df, ["g"], ["a"], law), law).collect()}
+    for g, n in ((None, 300_000), ("0", 100_000), ("1", 100_000), ("2", 100_000)):
+        assert abs(got[g]["estimate"] - n) <= 4 * law.error * n
+    with pytest.raises(ValueError):
+        set_sketches.Law(4096, 1.0)
 
 
 def test_groups_against_exact_counts(spark):
