@@ -5,6 +5,7 @@ A cohort's moments are its weight, its weighted mean of each observed outcome, a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,19 +54,26 @@ def cohort_factors(c: Cohort, r: int, demean: bool = False) -> np.ndarray:
     return np.linalg.eigh(s)[1][:, ::-1][:, :r]
 
 
-def common_factors(cohorts: list[Cohort], n: int, r: int, demean: bool = False) -> np.ndarray:
-    """The r directions over all n outcomes that the cohorts' own directions leave least unexplained, each cohort counting once."""
-    rest = np.zeros((n, n))
+#: What makes a cohort's own directions, a column each, from its moments.
+Factors = Callable[[Cohort], np.ndarray]
+
+
+def common_factors(cohorts: list[Cohort], n: int, r: int, factors: Factors | None = None) -> np.ndarray:
+    """The r directions over all n outcomes that the cohorts' own directions, by default their r leading ones, leave least
+    unexplained, each cohort counting once; cohorts with fewer outcomes than directions count not."""
+    factors, rest = factors or (lambda c: cohort_factors(c, r)), np.zeros((n, n))
     for c in cohorts:
         if c.at.size >= r:
-            f = cohort_factors(c, r, demean)
-            rest[np.ix_(c.at, c.at)] += np.eye(c.at.size) - f @ f.T
+            rest[np.ix_(c.at, c.at)] += np.eye(c.at.size) - projector(factors(c))
     return np.linalg.eigh(rest)[1][:, :r]
 
 
-def factor_means(cohorts: dict[str, Cohort], n: int, r: int, demean: bool = False) -> dict[str, np.ndarray]:
-    """Means of all outcomes of each cohort, NaN where the factors aren't identified on what it is observed in."""
-    f = common_factors(list(cohorts.values()), n, r, demean)
+def factor_means(cohorts: dict[str, Cohort], n: int, r: int, factors: Factors | None = None, use: set[str] | None = None) -> dict[str, np.ndarray]:
+    """Means of all outcomes of each cohort, NaN where the factors aren't identified on what it is observed in.
+
+    factors: own directions of a cohort, with a rank of their own; use: the cohorts that the common factors are fitted on.
+    """
+    f = common_factors([c for k, c in cohorts.items() if use is None or k in use], n, r, factors)
     out = {}
     for key, c in cohorts.items():
         own = f[c.at]
@@ -113,8 +121,13 @@ def two_way_residuals(cohorts: dict[str, Cohort], n: int) -> dict[str, Cohort]:
     return out
 
 
-def two_way_factor_means(cohorts: dict[str, Cohort], n: int, r: int) -> dict[str, np.ndarray]:
-    base, rest = two_way_means(cohorts, n), factor_means(two_way_residuals(cohorts, n), n, r)
+#: Means of all n outcomes by cohort, from the cohorts' moments.
+Estimator = Callable[[dict[str, Cohort], int], dict[str, np.ndarray]]
+
+
+def two_way_residual_means(cohorts: dict[str, Cohort], n: int, residual: Estimator) -> dict[str, np.ndarray]:
+    """Two-way means plus what an estimator makes of the residuals."""
+    base, rest = two_way_means(cohorts, n), residual(two_way_residuals(cohorts, n), n)
     return {k: base[k] + rest[k] for k in cohorts}
 
 
@@ -126,7 +139,7 @@ def estimate(name: str, cohorts: dict[str, Cohort], n: int) -> dict[str, np.ndar
     if kind == "apm":
         return factor_means(cohorts, n, int(r))
     if kind == "apm_demeaned":
-        return factor_means(cohorts, n, int(r), demean=True)
+        return factor_means(cohorts, n, int(r), lambda c: cohort_factors(c, int(r), demean=True))
     if kind == "twfe_apm":
-        return two_way_factor_means(cohorts, n, int(r))
+        return two_way_residual_means(cohorts, n, lambda c, k: factor_means(c, k, int(r)))
     raise ValueError(f"no estimator named {name}")

@@ -28,8 +28,9 @@ def over_grid(cells: DataFrame, grid: list[tuple[int, int, int]]) -> DataFrame:
     return union_all([cluster_sizes(cells, *config) for config in grid])
 
 
-def summary(sizes: DataFrame) -> DataFrame:
-    """For each configuration the least and most over year clusters of what its identified groups add up to."""
-    by = ["min_outcomes", "min_units", "rank"]
+def summary(sizes: DataFrame, settings: list[str] = []) -> DataFrame:  # noqa: B006
+    """For each configuration, and settings if sizes has such columns, the least and most over year clusters of what its identified
+    groups add up to."""
+    by = [*settings, "min_outcomes", "min_units", "rank"]
     years = sizes.where("identified").groupBy(*by, "year_cluster").agg(F.sum("share_workers").alias("share_workers"), F.sum("num_workers").alias("num_workers"), F.sum("num_workers_panel").alias("num_workers_panel"), F.count(F.lit(1)).alias("num_groups"))
     return years.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in ("share_workers", "num_workers", "num_workers_panel", "num_groups") for f, n in ((F.min, "min"), (F.max, "max"))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -13,47 +14,63 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..session import union_all
-from .panel import SEPARATOR, Panel, moments
+from .panel import SEPARATOR, Panel, exponentials, moments, replicate_moments
 
 #: Difference of the normal distribution's quartiles.
 NORMAL_IQR = 1.3489795003921634
 
 
-def means(panel: Panel, names: list[str], replicates: DataFrame | None = None) -> DataFrame:
-    """(b,) est_name, cohort_key, outcome, outcome_mean for every cohort and outcome; null where it isn't identified.
+def means(panel: Panel, names: list[str], replicates: int = 0, seed: int = 0, own: dict[str, Callable] | None = None) -> DataFrame:
+    """(b,) est_name, cohort_key, outcome, outcome_mean for every cohort and outcome; null where it isn't identified. With replicates
+    for each of so many draws of weights.
 
-    Units are summed up to cohort moments in the executors; only those, a square of the outcomes a cohort, meet in one kernel.
+    Units are summed up to cohort moments in the executors; only those, a square of the outcomes a cohort, meet in one kernel. own:
+    estimators of one's own by name, from cohorts by key and the number of outcomes to means by key.
     """
-    rows, single = moments(panel, replicates), replicates is None
+    rows = replicate_moments(panel, replicates, seed) if replicates else moments(panel)
+    by_name = {k: partial(linalg.estimate, k) for k in names} | (own or {})
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         outcomes, cohorts = linalg.from_rows(g)
-        out = [(name, k, t, v) for name in names for k, x in linalg.estimate(name, cohorts, len(outcomes)).items() for t, v in zip(outcomes, x.tolist(), strict=True)]
+        out = [(name, k, t, v) for name, f in by_name.items() for k, x in f(cohorts, len(outcomes)).items() for t, v in zip(outcomes, x.tolist(), strict=True)]
         df = pd.DataFrame(out, columns=["est_name", "cohort_key", "outcome", "outcome_mean"])
-        return df if single else df.assign(b=g["b"].iloc[0])
+        return df.assign(b=g["b"].iloc[0]) if replicates else df
 
     schema = "est_name string, cohort_key string, outcome string, outcome_mean double"
-    if single:
-        out = rows.groupBy(F.lit("all")).applyInPandas(run, schema)
-    else:
+    if replicates:
         out = rows.groupBy("b").applyInPandas(run, schema + ", b bigint")
+    else:
+        out = rows.groupBy(F.lit("all")).applyInPandas(run, schema)
     return out.withColumn("outcome_mean", F.nanvl("outcome_mean", F.lit(None).cast("double")))
 
 
 def bayesian_weights(panel: Panel, n: int, seed: int = 0) -> DataFrame:
     """unit, b, weight: standard exponential draws over their sum in each replicate 1..n, from a hash of seed, replicate and unit."""
-    raw = panel.units.select("unit", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))).alias("b"))
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col("b").cast("string"), F.lit("|"), F.col("unit").cast("string")))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    raw = raw.withColumn("e", -F.ln(u))
+    raw = panel.units.select("unit", F.posexplode(exponentials(n, seed)).alias("b", "e")).withColumn("b", (F.col("b") + 1).cast("bigint"))
     total = raw.groupBy("b").agg(F.sum("e").alias("total"))
     return raw.join(F.broadcast(total), "b").select("unit", "b", (F.col("e") / F.col("total")).alias("weight"))
 
 
-def observed_means(panel: Panel, replicates: DataFrame) -> DataFrame:
-    """b, cohort_key, outcome, outcome_mean under replicate weights."""
-    cells = panel.cells().drop("weight").join(replicates, "unit")
-    return cells.groupBy("b", "cohort_key", "outcome").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("outcome_mean"))
+def observed_means(panel: Panel, n: int, seed: int = 0) -> DataFrame:
+    """b, cohort_key, outcome, outcome_mean under each of n draws of weights."""
+    return replicate_moments(panel, n, seed).where("t = s").select("b", "cohort_key", F.col("t").alias("outcome"), F.col("mean").alias("outcome_mean"))
+
+
+def left_out_means(panel: Panel, n: int, seed: int = 0) -> DataFrame:
+    """b, cohort_key, cohort_size, outcome, est_name, boot_outcome_mean, true_outcome_mean: each cell as if it were left out, in each of n
+    draws of weights, by two estimators in closed form: 'others', the mean of the outcome over all other cohorts, and 'shifted',
+    that plus how far the cohort lies from the others in its other outcomes on average. Cells that no other cohort has, and cohorts
+    without another outcome that others have, have no estimates."""
+    cells = replicate_moments(panel, n, seed).where("t = s").select("b", "cohort_key", F.col("t").alias("outcome"), "w", "mean")
+    each, own = Window.partitionBy("b", "outcome"), Window.partitionBy("b", "cohort_key")
+    rest = F.count(F.lit(1)).over(each) > 1
+    others = F.when(rest, (F.sum(F.col("w") * F.col("mean")).over(each) - F.col("w") * F.col("mean")) / (F.sum("w").over(each) - F.col("w")))
+    gap = cells.withColumn("others", others).where("others IS NOT NULL").withColumn("gap", F.col("mean") - F.col("others"))
+    shift = (F.sum("gap").over(own) - F.col("gap")) / (F.count("gap").over(own) - 1)
+    made = gap.withColumn("k", F.count("gap").over(own)).withColumn("shifted", F.col("others") + shift).where("k > 1")
+    wide = made.select("b", "cohort_key", "outcome", "others", "shifted").unpivot(["b", "cohort_key", "outcome"], ["others", "shifted"], "est_name", "boot_outcome_mean")
+    truth = panel.cells().groupBy("cohort_key", "outcome").agg(F.avg("value").alias("true_outcome_mean"), F.count(F.lit(1)).alias("cohort_size"))
+    return wide.join(truth, ["cohort_key", "outcome"])
 
 
 def intervals(points: DataFrame, replicates: DataFrame, n_units: int, level: float = 0.95) -> DataFrame:
@@ -80,7 +97,7 @@ def bayesian_bootstrap(panel: Panel, name: str, n: int = 100, seed: int = 0) ->
     """Intervals of an estimator's cohort means; parameters are 'cohort -> outcome'."""
     label = F.concat("cohort_key", F.lit(" -> "), "outcome").alias("parameter")
     points = means(panel, [name]).where("outcome_mean IS NOT NULL").select(label, F.col("outcome_mean").alias("estimate"))
-    sims = means(panel, [name], bayesian_weights(panel, n, seed)).select("b", label, F.col("outcome_mean").alias("sim_estimate"))
+    sims = means(panel, [name], n, seed).select("b", label, F.col("outcome_mean").alias("sim_estimate"))
     return intervals(points, sims, panel.units.count())
 
 
@@ -174,7 +191,7 @@ def leave_one_out(panel: Panel, names: list[str], n: int, seed: int = 0, rank: i
     in every replicate. Moments are summed once for all cells; a cell is left out by dropping its row and column."""
     cells = left_out_cells(panel, rank, most)
     spark = panel.data.sparkSession
-    rows = moments(panel, bayesian_weights(panel, n, seed))
+    rows = replicate_moments(panel, n, seed)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         outcomes, cohorts = linalg.from_rows(g)

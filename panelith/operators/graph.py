@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, union_all
 from .panel import Panel
 
 
@@ -55,18 +55,17 @@ def identified_panel(panel: Panel, r: int) -> Panel:
 
 
 def hop_distances(outcomes: DataFrame, r: int) -> DataFrame:
-    """cohort_key, outcome, distance: least number of edges to a cohort with the outcome; null where none is reached."""
-    edges = cut(_both_ways(overlap_edges(outcomes, r)))
-    nodes = outcomes.select("cohort_key").distinct()
-    seen = cut(nodes.select("cohort_key", F.col("cohort_key").alias("at"), F.lit(0).alias("distance")))
-    front, hops = seen, 0
-    while True:
-        hops += 1
-        reached = front.join(edges.withColumnRenamed("src", "at"), "at").select("cohort_key", F.col("dst").alias("at")).distinct()
-        front = cut(reached.join(seen, ["cohort_key", "at"], "left_anti").withColumn("distance", F.lit(hops)))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    least = seen.join(outcomes.withColumnRenamed("cohort_key", "at"), "at").groupBy("cohort_key", "outcome").agg(F.min("distance").alias("distance"))
-    every = nodes.join(F.broadcast(outcomes.select("outcome").distinct()), F.lit(True))
-    return every.join(least, ["cohort_key", "outcome"], "left").select("cohort_key", "outcome", F.col("distance").cast("bigint").alias("distance"))
+    """cohort_key, outcome, distance: least number of edges to a cohort with the outcome; null where none is reached.
+
+    Outcomes spread along the edges, a step at a time, so that there is a row for each cohort and outcome, not for each pair of cohorts.
+    """
+    edges = cut(_both_ways(overlap_edges(outcomes, r)).withColumnsRenamed({"src": "cohort_key", "dst": "to"}))
+    front = cut(outcomes.select("cohort_key", "outcome", F.lit(0).cast("bigint").alias("distance")).distinct())
+    steps = [front]
+    while not front.isEmpty():
+        reached = front.join(edges, "cohort_key").select(F.col("to").alias("cohort_key"), "outcome").distinct()
+        front = cut(reached.join(union_all(steps), ["cohort_key", "outcome"], "left_anti").withColumn("distance", F.lit(len(steps)).cast("bigint")))
+        steps.append(front)
+    # what a report needs: a row for every cohort and outcome, the outcomes of a panel being few
+    every = outcomes.select("cohort_key").distinct().join(outcomes.select("outcome").distinct(), F.lit(True))
+    return every.join(union_all(steps), ["cohort_key", "outcome"], "left").select("cohort_key", "outcome", "distance")

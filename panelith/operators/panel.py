@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,11 @@ class Panel:
         """Only those outcomes; cohorts are formed again and both thresholds applied again, once; weights stay."""
         return build(self.data.where(F.col("outcome").isin(outcomes)), self.min_outcomes, self.min_units, self.units.select("unit", "weight"))
 
+    def only(self, cohort_key: str) -> Panel:
+        """One cohort, with its weights as they are."""
+        units = self.units.where(F.col("cohort_key") == cohort_key)
+        return replace(self, units=units, data=self.data.join(units.select("unit"), "unit", "left_semi"))
+
     def without(self, cohort_key: str, outcome: str) -> Panel:
         """The cells of one cohort and outcome deleted; labels and weights stay."""
         gone = self.units.where(F.col("cohort_key") == cohort_key).select("unit")
@@ -91,3 +99,50 @@ def moments(panel: Panel, replicates: DataFrame | None = None) -> DataFrame:
         F.sum("weight").alias("w"), (F.sum(F.col("weight") * F.col("p.value")) / F.sum("weight")).alias("mean"), F.sum(F.col("weight") * F.col("p.value") * F.col("q.value")).alias("second"))
     other = half.where("t < s").select(*keys, F.col("s").alias("t"), F.col("t").alias("s"), "w", F.lit(None).cast("double").alias("mean"), "second")
     return half.unionByName(other)
+
+
+def exponentials(n: int, seed: int = 0, unit: str = "unit") -> Column:
+    """ARRAY of n standard exponential draws for a unit, from a hash of seed, replicate 1..n and unit."""
+
+    def draw(b: Column) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{seed}|"), b.cast("string"), F.lit("|"), F.col(unit).cast("string")))
+        return -F.ln((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52))
+
+    return F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint")), draw)
+
+
+def replicate_moments(panel: Panel, n: int, seed: int = 0) -> DataFrame:
+    """b 1..n, cohort_key, t, s, w, mean, second: moments under exponential weights, which are not divided by their sum, as means
+    and estimates don't depend on it.
+
+    A unit's cells and draws meet in its row; tasks add up whole cohorts by matrix products and send a row for each cohort, pair
+    of outcomes and replicate, whatever the number of units.
+    """
+    vectors = panel.data.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("outcome", "value"))).alias("x")).join(panel.units.select("unit", "cohort_key"), "unit")
+    rows = vectors.select("cohort_key", F.transform("x", lambda c: c["outcome"]).alias("ts"), F.transform("x", lambda c: c["value"]).alias("v"), exponentials(n, seed).alias("e"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            keys, off = batch.column("cohort_key").to_pylist(), batch.column("v").offsets.to_numpy()
+            v, e = batch.column("v").flatten().to_numpy(), batch.column("e").flatten().to_numpy().reshape(-1, n)
+            ts, by = batch.column("ts"), {}
+            for i, k in enumerate(keys):
+                by.setdefault((k, int(off[i + 1] - off[i])), []).append(i)
+            for (k, size), at in by.items():
+                x = v[(off[at] - off[0])[:, None] + np.arange(size)]
+                key = (k, tuple(ts[at[0]].as_py()))
+                a, b = np.triu_indices(size)
+                made = np.concatenate([np.ones((len(at), 1)), x, x[:, a] * x[:, b]], 1).T @ e[at]
+                held[key] = held[key] + made if key in held else made
+        for (k, names), made in held.items():
+            a, b = np.triu_indices(len(names))
+            m = a.size
+            yield pa.RecordBatch.from_pydict({
+                "b": pa.array(np.tile(np.arange(1, n + 1), m)), "cohort_key": pa.array([k] * (m * n), pa.string()), "t": pa.array(np.repeat(names, n)[np.r_[*[np.arange(i * n, i * n + n) for i in a]]].tolist(), pa.string()),
+                "s": pa.array(np.repeat([names[i] for i in b], n).tolist(), pa.string()), "w": pa.array(np.tile(made[0], m)), "own": pa.array(made[1 + a].reshape(-1)), "second": pa.array(made[1 + len(names) :].reshape(-1))})
+
+    parts = rows.mapInArrow(sums, "b bigint, cohort_key string, t string, s string, w double, own double, second double")
+    half = parts.groupBy("b", "cohort_key", "t", "s").agg(F.sum("w").alias("w"), (F.sum("own") / F.sum("w")).alias("mean"), F.sum("second").alias("second"))
+    other = half.where("t < s").select("b", "cohort_key", F.col("s").alias("t"), F.col("t").alias("s"), "w", F.lit(None).cast("double").alias("mean"), "second")
+    return half.unionByName(other)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .heavy import skew_join
+from ..session import cut
+from .heavy import heavy_candidates, skew_join, task_share
 
 
 def match_data(earnings: DataFrame, firms: DataFrame, first_year: int, last_year: int, provinces: list[str] | None = None) -> DataFrame:
@@ -14,8 +15,8 @@ def match_data(earnings: DataFrame, firms: DataFrame, first_year: int, last_year
     e = earnings.drop("province").where(F.col("year").between(first_year, last_year) & (F.col("paid_weeks") > 0))
     f = firms.withColumnRenamed("firm", "_k")
     if provinces is None:
-        return skew_join(e, f, "firm", "left").drop("_k")
-    return skew_join(e, f.where(F.col("province").isin(provinces)), "firm", "inner").drop("_k")
+        return skew_join(e, f, "firm", "left", once=True).drop("_k")
+    return skew_join(e, f.where(F.col("province").isin(provinces)), "firm", "inner", once=True).drop("_k")
 
 
 def year_bins(df: DataFrame, size: int) -> DataFrame:
@@ -26,13 +27,14 @@ def year_bins(df: DataFrame, size: int) -> DataFrame:
 
 def always_present(df: DataFrame) -> DataFrame:
     """Records whose firm and worker both appear in every year cluster of df; judged once, on df as it is. Null keys drop out."""
+    df = cut(df)
     every = df.select("year_cluster").distinct().agg(F.count(F.lit(1))).scalar()
 
     def in_all(key: str) -> DataFrame:
         pairs = df.where(F.col(key).isNotNull()).select(key, "year_cluster").distinct()
         return pairs.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == every).select("_k")
 
-    return skew_join(skew_join(df, in_all("firm"), "firm", "left_semi"), in_all("worker"), "worker", "left_semi")
+    return skew_join(skew_join(df, in_all("firm"), "firm", "left_semi", once=True), in_all("worker"), "worker", "left_semi", heavy=heavy_candidates(df, ["worker"], task_share(df))[1]["worker"], once=True)
 
 
 def avg_weekly_earnings(df: DataFrame, keys: list[str]) -> DataFrame:

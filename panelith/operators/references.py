@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .heavy import skew_join
+from .heavy import heavy_candidates, skew_join, task_share
 
-#: Bits of the filter for one key, and the most for all: 8 MB. Beyond that more references are verified, none is lost.
-BITS_PER_KEY, MAX_BITS = 10, 1 << 26
+#: Bits of the filter for one key, and the most for all: 32 MB, for 26 million keys. Beyond that more references are verified, none
+#: is lost.
+BITS_PER_KEY, MAX_BITS = 10, 1 << 28
 HASHES = 4
 
 
@@ -79,10 +80,10 @@ def orphans(children: DataFrame, key: str, at: str, parents: DataFrame, parent_k
     refs = children.where(F.col(key).isNotNull())
     words, bits = bloom_filter(parents.select(parent_key), parent_key)
     maybe = might_contain(cut(words).scalar(), F.col(key), bits)
-    valid = validity(parents, parent_key, start, end).withColumnsRenamed({"valid_from": "_from", "valid_until": "_until"})
+    valid = cut(validity(parents, parent_key, start, end)).withColumnsRenamed({"valid_from": "_from", "valid_until": "_until"})
     t = F.col(at).cast("timestamp_ntz")
     within = (F.col("_from") <= t) & (F.col("_until").isNull() | (F.col("_until") > t))
-    return refs.where(~maybe).unionByName(skew_join(refs.where(maybe), valid, key, "left_anti", within))
+    return refs.where(~maybe).unionByName(skew_join(refs.where(maybe), valid, key, "left_anti", within, heavy=heavy_candidates(refs, [key], task_share(refs))[1][key], once=True))
 
 
 def orphan_kinds(found: DataFrame, key: str, at: str, parents: DataFrame, parent_key: str, start: str) -> DataFrame:

@@ -32,13 +32,19 @@ def eigengaps(spectra: DataFrame) -> DataFrame:
 
 
 def hop_reach(distances: DataFrame, sizes: DataFrame) -> DataFrame:
-    """hops, cohort_key, reached, share_cohorts, share_units: outcomes each cohort reaches within that many hops, cohorts in order of
-    what they reach. Unreached outcomes count nowhere; a cohort keeps its reach at later hops."""
-    n = distances.where("distance IS NOT NULL").groupBy("cohort_key", F.col("distance").alias("hops")).agg(F.count(F.lit(1)).alias("n"))
-    every = n.select("cohort_key").distinct().join(F.broadcast(n.select("hops").distinct()), F.lit(True)).join(n, ["cohort_key", "hops"], "left")
-    reach = every.select("cohort_key", "hops", F.sum(F.coalesce("n", F.lit(0))).over(running(["cohort_key"], "hops")).alias("reached")).join(sizes, "cohort_key")
-    order, whole = running(["hops"], "reached", "cohort_key"), Window.partitionBy("hops")
-    return reach.select("hops", "cohort_key", "reached", (F.count(F.lit(1)).over(order) / F.count(F.lit(1)).over(whole)).alias("share_cohorts"), (F.sum("n_units").over(order) / F.sum("n_units").over(whole)).alias("share_units"))
+    """hops, reached, n_cohorts, n_units, share_cohorts, share_units: by hops the numbers of outcomes that cohorts reach when they reach new
+    ones there, with the rank of the number among them by all cohorts, and the cumulated units by all. Every cohort has one more
+    row at the last hop with the most that any reaches; every hop has an anchor of shares 0 just below the least. Unreached outcomes count nowhere."""
+    new = distances.where("distance IS NOT NULL").groupBy("cohort_key", F.col("distance").alias("hops")).agg(F.count(F.lit(1)).alias("n"))
+    steps = new.select("cohort_key", "hops", F.sum("n").over(running(["cohort_key"], "hops")).alias("reached"))
+    top = steps.agg(F.max("hops").alias("hops"), F.max("reached").alias("reached"))
+    ends = steps.select("cohort_key").distinct().join(F.broadcast(top), F.lit(True)).select("cohort_key", "hops", "reached")
+    groups = steps.unionByName(ends).join(sizes, "cohort_key").groupBy("hops", "reached").agg(F.count(F.lit(1)).alias("n_cohorts"), F.sum("n_units").alias("n_units"))
+    order, whole = running(["hops"], "reached"), Window.partitionBy("hops")
+    out = groups.select("hops", F.col("reached").cast("double").alias("reached"), "n_cohorts", "n_units", (F.count(F.lit(1)).over(order) / F.sum("n_cohorts").over(whole)).alias("share_cohorts"), (F.sum("n_units").over(order) / F.sum("n_units").over(whole)).alias("share_units"))
+    anchor = groups.select("hops").distinct().join(F.broadcast(groups.agg((F.min("reached") - 1e-10).alias("reached"))), F.lit(True))
+    none = F.lit(None).cast("bigint")
+    return out.unionByName(anchor.select("hops", "reached", none.alias("n_cohorts"), none.alias("n_units"), F.lit(0.0).alias("share_cohorts"), F.lit(0.0).alias("share_units")))
 
 
 def sharing_edges(outcomes: DataFrame) -> DataFrame:

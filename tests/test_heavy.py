@@ -26,18 +26,23 @@ def test_heavy_keys_of_nothing(spark):
     assert heavy.heavy_keys(table(spark, [(None, None)] * 5), ["k", "a"]).collect() == []
 
 
-def test_share_below_the_sketchs_error_is_refused(spark):
+def test_any_share_is_answered(spark, skewed, monkeypatch):
     with pytest.raises(ValueError):
-        heavy.heavy_keys(table(spark, []), ["k"], 1e-6)
+        heavy.heavy_keys(table(spark, []), ["k"], 0)
+    n = Counter(k for k, _ in skewed)
+    want = {("k", k, c) for k, c in n.items() if k is not None}
+    assert {tuple(r) for r in heavy.heavy_keys(table(spark, skewed), ["k"], 1e-4).collect()} == want
+    monkeypatch.setattr(heavy, "MOST_TRACKED", 10)
+    assert {tuple(r) for r in heavy.heavy_keys(table(spark, skewed), ["k"], 1e-4).collect()} == want
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize(("most", "once"), [(200_000, False), (0, False), (0, True)])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_skew_join_equals_join(spark, skewed, how, most, monkeypatch):
+def test_skew_join_equals_join(spark, skewed, how, most, once, monkeypatch):
     monkeypatch.setattr(heavy, "BROADCAST_ROWS", most)
     left = table(spark, skewed + skewed[:5])
     right = table(spark, [(1, 10), (1, 11), (2, 20), (7, 70), (None, 5)], "_k bigint, b bigint")
-    got = heavy.skew_join(left, right, "k", how, share=0.05)
+    got = heavy.skew_join(left, right, "k", how, share=0.05, once=once)
     want = left.join(right, left["k"] == right["_k"], how)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got.columns == want.columns

@@ -127,9 +127,93 @@ def test_quantiles_and_clusters(spark):
     rows = [(f"p{i % 2}", i, float(v)) for i in range(20) for v in rng.normal(10 if i < 10 else 20, 1, 8)] + [("q", 99, 5.0)]
     df = spark.createDataFrame(rows, "province string, firm bigint, wage double")
     d = clusters.group_distributions(df, ["firm", "province"], "wage", clusters.wage_grid(df, "wage"))
-    out = {r["firm"]: r["cluster"] for r in clusters.cluster(clusters.distribution_vectors(d, ["firm", "province"]), "province", 2).collect()}
+    vectors = clusters.distribution_vectors(d, ["firm", "province"])
+    got = clusters.cluster(vectors, ["province"], [1, 2]).collect()
+    out = {r["firm"]: r["cluster"] for r in got if r["num_clusters"] == 2}
+    assert {r["cluster"] for r in got if r["num_clusters"] == 1} == {1} and len(got) == 42
     assert {out[i] for i in range(10)} == {2} and {out[i] for i in range(10, 20)} == {1} and out[99] == 1
-    assert clusters.cluster(clusters.distribution_vectors(d, ["firm", "province"]), None, 2).count() == 21
+    assert clusters.cluster(vectors, [], [2]).count() == 21
+    assert clusters.cluster(vectors.limit(0), ["province"], [2]).count() == 0
+
+
+def test_clusters_that_do_not_converge_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "STEPS", 1)
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, "p", [float(v) for v in np.sort(rng.random(5))], 1) for i in range(30)], "firm bigint, province string, cdf array<double>, num_workers bigint")
+    with pytest.warns(UserWarning):
+        clusters.cluster(df, ["province"], [3])
+
+
+def test_grid_of_clusterings(spark):
+    """Bins that don't fit are left out; firms that miss a year cluster are; only the first year cluster's wages decide."""
+    rng = np.random.default_rng(2)
+    rows = [(w, f, y, 10, float(10 * np.exp(rng.normal(5 + f % 2 * (y < 2000), 0.05))), "PD") for f in range(6) for w in range(f * 10, f * 10 + 8) for y in range(1998, 2002)] + [(900, 77, 1998, 10, 10.0, "PD")]
+    df = spark.createDataFrame(rows, "worker bigint, firm bigint, year bigint, paid_weeks bigint, earnings double, province string")
+    got = clusters.clusterings(lambda first: df.where(f"year >= {first}"), [1998, 2001], [1, 2, 3], [1, 2], 2001).collect()
+    assert {(r["start_year"], r["year_cluster_size"], r["num_clusters"]) for r in got} == {(1998, n, k) for n in (1, 2, 3) for k in (1, 2)} | {(2001, 1, k) for k in (1, 2)}
+    assert {r["firm"]: r["firm_type"] for r in got if r["start_year"] == 1998 and r["year_cluster_size"] == 2 and r["num_clusters"] == 2} == {f: 2 - f % 2 for f in range(6)}
+
+
+def test_replicate_moments_equal_weighted_ones(spark):
+    """Of panels whose cells come in any order, through several batches."""
+    rng = np.random.default_rng(5)
+    rows = [(i, t, float(rng.normal())) for i in range(60) for t in rng.permutation(list("abc" if i % 3 else "bd")).tolist()]
+    p = panel.build(cells(spark, rows).repartition(3), 2, 2)
+    weights = estimators.bayesian_weights(p, 2)
+    got = {(r["b"], r["cohort_key"], r["t"], r["s"]): r for r in panel.replicate_moments(p, 2).collect()}
+    for b in (1, 2):
+        q = p.reweighted(weights.where(f"b = {b}"))
+        want = panel.moments(q).collect()
+        assert len(want) * 2 == len(got)
+        scale = sum(got[b, r["cohort_key"], r["t"], r["s"]]["w"] for r in want) / sum(r["w"] for r in want)
+        for r in want:
+            x = got[b, r["cohort_key"], r["t"], r["s"]]
+            assert abs(x["second"] - scale * r["second"]) < 1e-9 * scale and (r["mean"] is None or abs(x["mean"] - r["mean"]) < 1e-9)
+
+
+def test_left_out_means_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, t, float(rng.normal(ord(t)))) for i in range(60) for t in ("abc" if i % 3 else "bd")]
+    p = panel.build(cells(spark, rows), 2, 2)
+    got = {(r["b"], r["cohort_key"], r["outcome"], r["est_name"]): r["boot_outcome_mean"] for r in estimators.left_out_means(p, 1).collect()}
+    e = {r["unit"]: r["weight"] for r in estimators.bayesian_weights(p, 1).collect()}
+    mean = lambda keep, t: sum(e[i] * v for i, s, v in rows if s == t and keep(i)) / sum(e[i] for i, s, v in rows if s == t and keep(i))
+    assert got == {}, got  # only b is shared, so that no cohort has another outcome that others have
+    rows += [(i, "c", float(rng.normal(99))) for i in range(0, 60, 3)]
+    got = {(r["b"], r["cohort_key"], r["outcome"], r["est_name"]): r["boot_outcome_mean"] for r in estimators.left_out_means(panel.build(cells(spark, rows), 2, 2), 1).collect()}
+    full, few = (lambda i: i % 3 > 0), (lambda i: i % 3 == 0)
+    assert abs(got[1, "b; c; d", "b", "others"] - mean(full, "b")) < 1e-9
+    assert abs(got[1, "b; c; d", "b", "shifted"] - (mean(full, "b") + mean(few, "c") - mean(full, "c"))) < 1e-9
+
+
+def test_estimators_of_ones_own(spark):
+    rows, truth = factor_rows("factor", [(0, 4), (1, 8), (4, 9)], 9)
+    p = panel.build(cells(spark, rows), 3, 10)
+    _, cohorts = linalg.from_rows(panel.moments(p).toPandas())
+    first = sorted(cohorts)[0]
+    own = {"mine": lambda c, n: linalg.two_way_residual_means(c, n, lambda d, k: {key: np.zeros(k) for key in d}), "ranks": lambda c, n: linalg.factor_means(c, n, 2, lambda x: linalg.cohort_factors(x, 3), set(c) - {first})}
+    got = {(r["est_name"], r["cohort_key"], r["outcome"]): r["outcome_mean"] for r in estimators.means(p, ["twfe_clustered"], own=own).collect()}
+    assert len(got) == 3 * len(cohorts) * 9
+    assert all(got["mine", k, t] == got["twfe_clustered", k, t] for n, k, t in got if n == "mine")
+    assert p.only(first).units.select("cohort_key").distinct().collect()[0][0] == first
+    assert estimators.leave_one_out(p, ["twfe_clustered"], 3).count() == 3 * len(estimators.left_out_cells(p))
+
+
+class _Reweighted(estimators.DataGeneratingProcess):
+    def __init__(self, p):
+        self.panel = p
+
+    def draw(self, b):
+        return self.panel.reweighted(self.panel.units.selectExpr("unit", f"CAST({b} AS DOUBLE) AS weight"))
+
+
+def test_simulation_with_a_process_of_ones_own(spark):
+    p = panel.build(cells(spark, [(i, t, float(i)) for i in range(6) for t in "ab"]), 2, 2)
+    label = lambda q: panel.cohort_means(q).selectExpr("outcome AS parameter", "outcome_mean AS estimate")
+    got = estimators.simulate(_Reweighted(p), {"mean": label}, 3).collect()
+    assert {(r["b"], r["parameter"], r["sim_estimate"]) for r in got} == {(b, t, 2.5) for b in (1, 2, 3) for t in "ab"}
+    one = estimators.BayesianBootstrap(p, 4).draw(2)
+    assert abs(one.units.agg({"weight": "sum"}).first()[0] - 1) < 1e-9
 
 
 def test_reports_edges(spark):

@@ -6,6 +6,8 @@ from panelith.plans import registry
 from sqlcheck import same
 
 SF = "/root/testdata/sf0.001"
+#: Queries of records that are too few at this scale for a cohort or a case.
+EMPTY = {"pipeline_err_stats", "pipeline_err_summaries"}
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
@@ -18,8 +20,13 @@ def test_query_equals_sql(spark, name):
 @needs_data
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
+    """Rows, no column of nulls only, and the same rows again."""
     df = registry.queries()[name](spark, SF)
-    assert df.count() >= 0 and df.columns
+    shown = lambda rows: sorted(tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
+    rows = shown(df.collect())
+    assert rows or name in EMPTY
+    assert name in EMPTY or all(r is not None for r in df.selectExpr(*[f"max(`{c}`)" for c in df.columns]).first())
+    assert rows == shown(registry.queries()[name](spark, SF).collect())
 
 
 @needs_data
