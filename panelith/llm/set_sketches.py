@@ -204,7 +204,7 @@ def sketches(rows: DataFrame, dims: list[str], fields: list[str], law: Law = LAW
                 for i in reversed(use):
                     out[dims[i]] = [names[i][k] for k in (rest % len(names[i])).tolist()]
                     rest //= len(names[i])
-                ends = np.r_[cut[1:], g.size]
+                ends = np.r_[cut[1:], g.size][: cut.size]
                 yield pa.RecordBatch.from_arrays([pa.array([level] * cut.size, pa.int32()), *[pa.array(out[d], pa.string()) for d in dims], pa.array([f] * cut.size, pa.string()), pa.array([packed[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())], ["level", *dims, "field", "registers"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

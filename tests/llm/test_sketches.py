@@ -63,6 +63,12 @@ def test_groups_against_exact_counts(spark):
         assert abs(got[k]["estimate"] - len(s)) <= 4 * set_sketches.ERROR * len(s) + 0.6
 
 
+def test_fields_without_a_value_have_no_sketch(spark):
+    df = spark.range(4).selectExpr("cast(id % 2 as string) AS day", "id AS a", "cast(null as bigint) AS b")
+    got = set_sketches.counts(set_sketches.sketches(df, ["day"], ["a", "b"])).collect()
+    assert {(r["level"], r["day"], r["field"], round(r["estimate"])) for r in got} == {(0, None, "a", 4), (1, "0", "a", 2), (1, "1", "a", 2)}
+
+
 def test_merged_days_equal_the_whole(spark):
     df = spark.range(3000).selectExpr("cast(id % 7 as string) AS day", "id * 31 AS a")
     whole = set_sketches.sketches(df, [], ["a"])
