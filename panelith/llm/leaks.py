@@ -1,8 +1,8 @@
 """Evaluation texts in a corpus: latent semantic retrieval, then exact checks.
 
 Terms are the word trigrams of the test items, weighted by their IDF over all passages (blocks of WINDOW words) of the
-corpus. A distributed randomised SVD of the items' TF-IDF passages gives a latent space of half as many dimensions as there
-are texts; windows of every document are compared with every passage and prompt there. What the space keeps of a text is
+corpus. A distributed randomised SVD of the items' TF-IDF passages gives a latent space of a quarter as many dimensions as
+there are texts; windows of every document are compared with every passage and prompt there. What the space keeps of a text is
 known, so that the latent product divided by it estimates the cosine in full; windows above LATENT are candidates, and those
 whose exact cosine reaches COVER are compared in words. Items are taken in blocks of bounded size that every task holds, one after
 another, however many there are. No weight lies below FLOOR of the greatest, and none grows beyond CAP, so that neither the
@@ -30,11 +30,12 @@ from ..session import cut, union_all
 
 GRAM, WINDOW, STEP = 3, 24, 8
 #: Dimensions of the latent space as a share of the texts, but so many at least; more for the iteration; passes after the first.
-REDUCED, LEAST_RANK, OVER, POWER, SEED = 0.5, 64, 8, 1, 11
+REDUCED, LEAST_RANK, OVER, POWER, SEED = 0.25, 64, 8, 1, 11
 #: Texts (passages and prompts) of a block of items.
 BLOCK_TEXTS = 640
-#: Least estimate by the latent space, on COVER's scale, of a candidate.
-LATENT = 0.38
+#: Least estimate by the latent space, on COVER's scale, of a candidate, in a space of a REDUCED share of the dimensions, which lets texts
+#: that share phrases add to each other; the less is reduced the closer to COVER.
+LATENT = 0.6
 #: Least cosine of a window and a text, as a share of the cosine that a window copied from the text would have.
 COVER = 0.38
 #: Greatest IDF that counts, also for words that no item has; the least weight of an item's term in COVER as a share of it. 12 of a window's
@@ -49,7 +50,7 @@ AROUND = 40
 #: Windows of a document that are compared at a time.
 GROUP = 64
 
-_JOIN, _WORD = re.compile(r"(?<=\w)[-‐‑\xad]\s*(?=\w)"), re.compile(r"\w+")
+_JOIN, _WORD = re.compile(r"[-‐‑\xad](?<=\w.)\s*(?=\w)"), re.compile(r"\w+")
 
 
 def words(text: str) -> list[str]:
@@ -129,13 +130,16 @@ def term_weights(encoded: DataFrame, items: Items) -> tuple[np.ndarray, float, n
         df, n = np.zeros(nt + 1 + nw, np.int64), 0
         for b in batches:
             docs = [ids for ids in _docs(b, nw - 1) if ids.size]
-            for i in range(0, len(docs), 256):
-                some = docs[i : i + 256]
+            for i in range(0, len(docs), 64):
+                some = docs[i : i + 64]
                 for x, low, width in ((some, nt + 1, nw), ([items.term(grams(ids)) for ids in some], 0, nt + 1)):
                     sizes = np.array([-(-v.size // WINDOW) for v in x])
+                    kind = np.int32 if int(sizes.sum()) * width < 2**31 else np.int64
                     first = np.cumsum(sizes) - sizes
-                    codes = np.concatenate([(np.arange(v.size) // WINDOW + f) * width + v for v, f in zip(x, first.tolist(), strict=True)])
-                    df += np.bincount(np.unique(codes) % width + low, minlength=df.size)
+                    codes = np.concatenate([(np.arange(v.size, dtype=kind) // WINDOW + kind(f)) * kind(width) + v.astype(kind) for v, f in zip(x, first.tolist(), strict=True)])
+                    codes.sort()
+                    codes = codes[np.r_[True, codes[1:] != codes[:-1]][: codes.size]]
+                    df += np.bincount(codes % width + low, minlength=df.size)
                     n += int(sizes.sum()) if low else 0
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"k": pa.array([*k, -1], pa.int32()), "n": pa.array([*df[k], n], pa.int64())})
@@ -273,6 +277,8 @@ class Search:
     adds: np.ndarray = None
     texts: np.ndarray = None
     member: np.ndarray = None
+    #: Items with an answer; where its word numbers begin in all of them; these; and as texts.
+    asked: tuple | None = None
     #: All texts' words one after another; where each begins; how many words are to be found at once; the weight of that many from each word on.
     flat: np.ndarray = None
     first: np.ndarray = None
@@ -281,12 +287,14 @@ class Search:
 
     def __post_init__(self) -> None:
         self.gate = gate(self.idf)
+        self.squared = self.gate**2
         # a term counts once for a text, else a phrase that the text repeats would make up for terms that are missing
         own, nt = [np.unique(r) for r in self.items.rows], self.idf.size - 1
         self.adds = self.gate[:, None].astype(np.float32) * self.space
         latent, whole = np.array([self.gate[r] @ self.space[r] for r in own]), np.array([(self.gate[r] ** 2).sum() for r in own])
         kept = (latent**2).sum(1) / np.maximum(whole, 1e-9)
         self.texts = np.ascontiguousarray((latent / np.maximum(kept, 1e-3)[:, None]).T, dtype=np.float32)
+        self.least = COVER + (LATENT - COVER) * max(0.0, 1 - self.space.shape[1] / len(own)) / (1 - REDUCED)
         self.space = None
         self.member = np.zeros((nt + 1, len(own)), bool)
         for k, r in enumerate(own):
@@ -304,7 +312,7 @@ class Search:
         t = self.items.term(grams(ids))
         if not t.size:
             return
-        known = self.gate[t] ** 2
+        known = self.squared[t]
         all_of = np.r_[0, np.cumsum(np.where(t < self.idf.size - 1, known, self.unseen**2))]
         known = np.r_[0, np.cumsum(known)]
         start = np.r_[np.arange(0, max(1, t.size - size + 1), STEP), max(0, t.size - size)]
@@ -316,25 +324,26 @@ class Search:
             return
         for i in range(0, start.size, GROUP):
             a, b = start[i : i + GROUP], end[i : i + GROUP]
-            # every known term of these windows is fetched once, into memory that stays; the windows add them up
-            at = np.unique((a[:, None] + np.arange(size)).ravel())
-            at = at[(at < t.size) & (at < b[-1])]
-            at = at[t[at] < self.idf.size - 1]
-            rows = np.take(self.adds, t[at], axis=0, out=self._room()[: at.size], mode="clip")
-            x = ((at >= a[:, None]) & (at < b[:, None])).astype(np.float32) @ rows
-            j, k = np.nonzero(x @ self.texts >= LATENT * energy[i : i + GROUP, None])
-            if not j.size:
+            # known terms are fetched once, into memory that stays; the windows add them up
+            first, last = int(a[0]), int(b[-1])
+            known = first + np.flatnonzero(t[first:last] < self.idf.size - 1)
+            rows = np.take(self.adds, t[known], axis=0, out=self._room(known.size), mode="clip")
+            x = ((known >= a[:, None]) & (known < b[:, None])).astype(np.float32) @ rows
+            at = np.flatnonzero(x @ self.texts >= (self.least * energy[i : i + GROUP, None]).astype(np.float32))
+            if not at.size:
                 continue
+            j, k = np.divmod(at, self.texts.shape[1])
             inside = np.minimum(a[j, None] + np.arange(size), t.size - 1)
             held = np.where(a[j, None] + np.arange(size) < b[j, None], t[inside], self.idf.size - 1)
-            cover = (self.member[held, k[:, None]] * self.gate[held] ** 2).sum(1) / energy[i + j]
+            cover = (self.member[held, k[:, None]] * self.squared[held]).sum(1) / energy[i + j]
             for z in np.flatnonzero(cover >= COVER).tolist():
                 yield int(a[j[z]]), int(k[z]), float(cover[z])
 
-    def _room(self) -> np.ndarray:
-        if getattr(self, "_buffer", None) is None:
-            self._buffer = np.empty((GROUP * (WINDOW - GRAM + 1), self.adds.shape[1]), np.float32)
-        return self._buffer
+    def _room(self, n: int) -> np.ndarray:
+        """n rows of memory that stays."""
+        if getattr(self, "_buffer", None) is None or len(self._buffer) < n:
+            self._buffer = np.empty((max(n, 4 * GROUP * STEP), self.adds.shape[1]), np.float32)
+        return self._buffer[:n]
 
     def most(self, texts: np.ndarray, which: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
         """What span_found cannot exceed for each of texts and docs[which]: the share of words that the document has at all, in any order."""
@@ -356,23 +365,41 @@ class Search:
         own = float((self.idf[t[of]] ** 2).sum())
         return own / max(own + self.unseen**2 * float((~of).sum()), 1e-9)
 
-    def found(self, ids: np.ndarray) -> dict[int, tuple[bool, float]]:
-        """By text, of the texts of which the document has FOUND_ANSWERED: whether that is enough without the answer; the share."""
-        best: dict[int, tuple[bool, float]] = {}
+    def answered(self, ids: np.ndarray) -> set[int]:
+        """The items whose answer the document gives, all its words in order and together."""
+        if self.asked is None:
+            coded = [[self.items.vocabulary.get(w, 0) for w in a] for a in self.items.answers]
+            own = [(i, a) for i, a in enumerate(coded) if a and 0 not in a]
+            self.asked = [i for i, _ in own], np.cumsum([0, *[len(a) for _, a in own]])[:-1], np.array([w for _, a in own for w in a], np.int64), [f" {' '.join(map(str, a))} " for _, a in own]
+        who, first, flat, text = self.asked
+        if not who:
+            return set()
+        has = np.zeros(self.weight.size, bool)
+        has[ids] = True
+        likely = np.flatnonzero(np.logical_and.reduceat(has[flat], first)).tolist()
+        whole = f" {' '.join(map(str, ids.tolist()))} " if likely else ""
+        return {who[k] for k in likely if text[k] in whole}
+
+    def found(self, ids: np.ndarray) -> tuple[dict[int, float], set[int]]:
+        """Best share by text, of the texts that the document gives away, and the items it answers if there are any candidates."""
+        best: dict[int, float] = {}
         some, worth = list(self.candidates(ids)), []
+        given = self.answered(ids) if some else set()
+        helped = {k for k, own in enumerate(self.items.owners) if given.intersection(own)} if given else given
         for i in range(0, len(some), GROUP):
             part = some[i : i + GROUP]
             windows, which = np.unique([at for at, _, _ in part], return_inverse=True)
             most = self.most(np.array([k for _, k, _ in part]), which, [ids[max(0, at - AROUND) : at + WINDOW + AROUND] for at in windows.tolist()])
-            worth += [c for c, m in zip(part, most.tolist(), strict=True) if m >= FOUND_ANSWERED - 1e-9]
+            worth += [c for c, m in zip(part, most.tolist(), strict=True) if m >= (FOUND_ANSWERED if c[1] in helped else FOUND_NEAR) - 1e-9]
+        tried: dict[int, list[int]] = {}
         for at, k, _ in sorted(worth, key=lambda c: -c[2]):
-            if not best.get(k, (False,))[0]:
+            # a piece of SPAN words about a window lies whole in what was aligned about one this close, which had the higher cosine
+            if k not in best and all(abs(at - x) > AROUND - SPAN for x in tried.get(k, ())):
+                tried.setdefault(k, []).append(at)
                 share = span_found(self.items.ids[k], ids[max(0, at - AROUND) : at + WINDOW + AROUND], self.weight)
-                near = self.near(ids[at : at + WINDOW], k) if FOUND_ANSWERED <= share < FOUND else 1.0
-                if share >= FOUND_ANSWERED and near >= NEAR_ANSWERED:
-                    sure = share >= FOUND or share >= FOUND_NEAR and near >= NEAR
-                    best[k] = max((sure, share), best.get(k, (False, 0.0)))
-        return best
+                if share >= FOUND or share >= (FOUND_ANSWERED if k in helped else FOUND_NEAR) and self.near(ids[at : at + WINDOW], k) >= (NEAR_ANSWERED if k in helped else NEAR):
+                    best[k] = share
+        return best, given
 
 
 def _blocks(items: DataFrame) -> Iterator[list]:
@@ -420,19 +447,15 @@ def _leaks(documents: DataFrame, own: Items) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        answers = [" ".join(str(voc.get(w, 0)) for w in a) for a in s.items.answers]
         for b in batches:
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), _docs(b, len(voc)), strict=True):
-                by: dict[int, tuple[bool, float]] = {}
-                for k, x in s.found(ids).items():
+                by: dict[int, float] = {}
+                best, given = s.found(ids)
+                for k, share in best.items():
                     for i in s.items.owners[k]:
-                        by[i] = max(x, by.get(i, x))
-                text = f" {' '.join(map(str, ids.tolist()))} " if by else ""
-                for i, (sure, share) in by.items():
-                    answered = bool(answers[i]) and " 0 " not in f" {answers[i]} " and f" {answers[i]} " in text
-                    if sure or answered:
-                        out.append((doc, s.items.names[i], share, answered))
+                        by[i] = max(share, by.get(i, 0.0))
+                out += [(doc, s.items.names[i], share, i in given) for i, share in by.items()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], ["doc_id", "item_id", "share", "answered"])
 

@@ -74,10 +74,8 @@ def _recall(spark, items, texts):
     want, got = set(), set()
     for d, b in enumerate(coded):
         ids = np.frombuffer(b, np.uint16).astype(np.int32)
-        for out, s, least in ((want, exact, leaks.COVER), (got, latent, leaks.LATENT)):
-            with pytest.MonkeyPatch.context() as m:
-                m.setattr(leaks, "LATENT", least)
-                out |= {(d, i, k) for i, k, _ in s.candidates(ids)}
+        for out, s in ((want, exact), (got, latent)):
+            out |= {(d, i, k) for i, k, _ in s.candidates(ids)}
     pairs = {(d, k) for d, _, k in want}
     return len(want & got) / len(want), len({(d, k) for d, _, k in got} & pairs) / len(pairs), len(want), space.shape[1], len(own.ids)
 
@@ -95,7 +93,7 @@ def test_recall_of_candidates_on_the_test_table(spark):
     items = pd.read_parquet("/root/testdata/sf0.1/eval_items.parquet").to_dict("records")
     docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
     windows, pairs, n, rank, texts = _recall(spark, items, docs[docs["doc_id"] % 20 == 0]["text"].tolist())
-    assert n > 300 and rank <= (texts + 1) / 2 and windows >= 0.9 and pairs >= 0.9
+    assert n > 300 and rank <= (texts + 3) / 4 and windows >= 0.9 and pairs >= 0.9
 
 
 def test_recall_with_thousands_of_texts(spark):
@@ -131,11 +129,14 @@ def test_a_paraphrase_needs_the_answer(world, monkeypatch):
     own = leaks.Items.of([dict(zip(("item_id", "prompt", "passage", "answer"), i[:4], strict=True)) for i in world[0]])
     s = leaks.Search(own, np.r_[np.ones(own.terms.size), 0.0], 1.0, np.ones(len(own.vocabulary) + 1), np.vstack([np.eye(own.terms.size, dtype=np.float32), np.zeros((1, own.terms.size), np.float32)]))
     monkeypatch.setattr(leaks, "NEAR_ANSWERED", 0.4)
-    for changed, want in (((12,), True), ((5, 11, 17, 23), False), ((4, 7, 11, 14, 18, 21, 25), None)):
+    answer = np.array([own.vocabulary[w] for w in own.answers[3]], np.int32)
+    for changed, alone, with_answer in (((12,), True, True), ((5, 11, 17, 23), False, True), ((4, 7, 11, 14, 18, 21, 25), False, False)):
         piece = own.ids[6][5:31].copy()
         piece[list(changed)] = 0
-        got = s.found(np.r_[np.zeros(24, np.int32), piece, np.zeros(24, np.int32)])
-        assert got.get(6, (None,))[0] is want
+        text = [np.zeros(24, np.int32), piece, np.zeros(50, np.int32)]
+        assert (6 in s.found(np.concatenate(text))[0]) is alone
+        best, given = s.found(np.concatenate([*text, answer]))
+        assert (6 in best) is with_answer and given <= {3}
 
 
 def test_lcs_against_dynamic_programming():
@@ -182,7 +183,7 @@ def test_a_leak_comes_out_however_large_the_corpus(spark, world, times, monkeypa
 
     idf, unseen, weight = leaks.term_weights(Counted(), own)
     s = leaks.Search(own, idf, unseen, weight, leaks.latent_space(spark, own, idf))
-    assert 0 in s.found(ids)
+    assert 0 in s.found(ids)[0]
 
 
 def test_the_bound_is_never_below_the_share(world):
