@@ -54,17 +54,24 @@ class Panel:
         return replace(self, data=self.data.where(F.col("outcome") != outcome).unionByName(hit))
 
 
-def build(cells: DataFrame, min_outcomes: int, min_units: int, weights: DataFrame | None = None) -> Panel:
+def build(cells: DataFrame, min_outcomes: int, min_units: int, weights: DataFrame | None = None, cohorts: DataFrame | None = None, weight_column: str | None = None) -> Panel:
     """A panel of cells(unit, outcome, value), one row a cell, whose units have min_outcomes outcomes at least and share their
-    set of outcomes with min_units units at least; weights(unit, weight) or else 1 by the number of units that remain.
+    set of outcomes with min_units units at least; weights(unit, weight), or a column of cells that is the same in all of a
+    unit's rows, or else 1 by the number of units that remain.
 
-    Null units, outcomes and values are no cells.
+    cohorts(unit, cohort ARRAY<STRING>): sets of outcomes attached beforehand, in place of those that the cells have; units without
+    one drop out. Null units, outcomes and values are no cells.
     """
     data = cells.select("unit", F.col("outcome").cast("string").alias("outcome"), F.col("value").cast("double").alias("value")).dropna("any")
-    units = data.groupBy("unit").agg(F.sort_array(F.collect_set("outcome")).alias("cohort")).where(F.size("cohort") >= min_outcomes)
-    units = units.withColumn("cohort_key", F.array_join("cohort", SEPARATOR))
+    if cohorts is None:
+        units = data.groupBy("unit").agg(F.sort_array(F.collect_set("outcome")).alias("cohort"))
+    else:
+        units = cohorts.select("unit", F.sort_array(F.array_distinct("cohort")).alias("cohort")).dropna("any").dropDuplicates(["unit"]).join(data.select("unit").distinct(), "unit", "left_semi")
+    units = units.where(F.size("cohort") >= min_outcomes).withColumn("cohort_key", F.array_join("cohort", SEPARATOR))
     sizes = units.groupBy("cohort_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_units)
     units = units.join(sizes.select("cohort_key"), "cohort_key", "left_semi")
+    if weight_column is not None:
+        weights = cells.where(F.col(weight_column).isNotNull()).groupBy("unit").agg(F.max(weight_column).cast("double").alias("weight"))
     if weights is None:
         units = units.withColumn("weight", F.lit(1.0) / sizes.agg(F.sum("n")).scalar())
     else:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .heavy import heavy_candidates, skew_join, task_share
 
+LOG = logging.getLogger(__name__)
+
 
 def match_data(earnings: DataFrame, firms: DataFrame, first_year: int, last_year: int, provinces: list[str] | None = None) -> DataFrame:
     """Records with paid weeks in those years, with their firm's attributes in place of their own province; those of firms in
@@ -37,6 +41,16 @@ def always_present(df: DataFrame) -> DataFrame:
     return skew_join(skew_join(df, in_all("firm"), "firm", "left_semi", once=True), in_all("worker"), "worker", "left_semi", heavy=heavy_candidates(df, ["worker"], task_share(df))[1]["worker"], once=True)
 
 
+def log_counts(matches: DataFrame) -> list[tuple]:
+    """Logs, and gives, the numbers of records, firms and workers of all matches (province None) and of each province; those
+    without a province count in the whole only. Provinces are few."""
+    counts = [F.count(F.lit(1)), F.count_distinct("firm"), F.count_distinct("worker")]
+    rows = [(None, *matches.agg(*counts).first()), *sorted(tuple(r) for r in matches.where("province IS NOT NULL").groupBy("province").agg(*counts).collect())]
+    for province, records, firms, workers in rows:
+        LOG.info("%s: %d records of %d firms and %d workers", province or "all", records, firms, workers)
+    return rows
+
+
 def avg_weekly_earnings(df: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of earnings by sum of paid weeks for each group; groups with a null in their keys or earnings drop out.
 

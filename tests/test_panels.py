@@ -232,3 +232,34 @@ def test_sinks_round_trip(spark, tmp_path):
     back = tables.read_csv(spark, str(tmp_path / "d"), "start_year bigint, year_cluster_size bigint, num_clusters bigint, firm bigint, province string")
     assert back.collect() == df.collect()
     assert tables.unfinished(df, back, ["firm"]).count() == 0
+
+
+def test_cohorts_and_weights_that_come_with_the_data(spark):
+    rows = [(1, "a", 1.0, 2.0), (1, "b", 2.0, 2.0), (2, "a", 3.0, 5.0), (2, "b", 3.0, 5.0), (3, "a", 1.0, None), (3, "b", 1.0, None)]
+    df = spark.createDataFrame(rows, "unit bigint, outcome string, value double, w double")
+    sets = spark.createDataFrame([(1, ["z", "a", "b"]), (2, ["b", "a", "z", "a"]), (9, ["a", "b", "z"]), (3, None)], "unit bigint, cohort array<string>")
+    p = panel.build(df, 3, 2, cohorts=sets)
+    assert {(r["unit"], r["cohort_key"], r["weight"]) for r in p.units.collect()} == {(1, "a; b; z", 0.5), (2, "a; b; z", 0.5)}
+    assert {(r["unit"], r["weight"]) for r in panel.build(df, 2, 2, weight_column="w").units.collect()} == {(1, 2.0), (2, 5.0)}
+
+
+def test_report_of_counts(spark, caplog):
+    df = spark.createDataFrame([(1, 1, "PD"), (1, 2, "PD"), (2, 2, "VE"), (3, None, None)], "worker bigint, firm bigint, province string")
+    with caplog.at_level("INFO"):
+        assert prep.log_counts(df) == [(None, 4, 2, 3), ("PD", 2, 2, 1), ("VE", 1, 1, 1)]
+    assert "all: 4 records of 2 firms and 3 workers" in caplog.text
+
+
+def test_stata_files_in_chunks(spark, tmp_path):
+    import pandas as pd
+
+    df = pd.DataFrame({"matr_az": np.arange(7), "prov": list("abcdefg")})
+    df.to_stata(str(tmp_path / "x.dta"), write_index=False)
+    tables.stata_to_parquet(spark, str(tmp_path / "x.dta"), str(tmp_path / "x"), 3)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "x")).collect()) == list(zip(range(7), "abcdefg", strict=True))
+
+
+def test_resuming_leaves_what_is_not_done(spark):
+    work = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "cohort_key string, outcome string")
+    done = spark.createDataFrame([("a", "x"), ("a", "x")], "cohort_key string, outcome string")
+    assert {tuple(r) for r in tables.unfinished(work, done, ["cohort_key", "outcome"]).collect()} == {("a", "y"), ("b", "x")}
