@@ -143,3 +143,45 @@ def estimate(name: str, cohorts: dict[str, Cohort], n: int) -> dict[str, np.ndar
     if kind == "twfe_apm":
         return two_way_residual_means(cohorts, n, lambda c, k: factor_means(c, k, int(r)))
     raise ValueError(f"no estimator named {name}")
+
+
+def _two_way_sums(c: Cohort, n: int) -> tuple[np.ndarray, np.ndarray]:
+    left, right = np.zeros((n, n)), np.zeros(n)
+    centre = np.eye(c.at.size) - 1 / c.at.size
+    left[np.ix_(c.at, c.at)] = c.weight * centre
+    right[c.at] = c.weight * (centre @ c.mean)
+    return left, right
+
+
+def _unexplained(c: Cohort, n: int, r: int) -> np.ndarray:
+    rest = np.zeros((n, n))
+    if c.at.size >= r:
+        rest[np.ix_(c.at, c.at)] = np.eye(c.at.size) - projector(cohort_factors(c, r))
+    return rest
+
+
+def left_out(name: str, cohorts: dict[str, Cohort], n: int, cells: list[tuple[str, int]]) -> list[float]:
+    """The estimates of cells (cohort, outcome), each without it. For two-way and plain factor means the sums over cohorts are made
+    once and only the cell's own cohort is exchanged; others are estimated anew for each cell."""
+    kind, _, r = name.rpartition("_rank_")
+    if name == "twfe_clustered":
+        sums = {k: _two_way_sums(c, n) for k, c in cohorts.items()}
+        left, right = sum(x for x, _ in sums.values()), sum(x for _, x in sums.values())
+    elif kind == "apm":
+        sums = {k: _unexplained(c, n, int(r)) for k, c in cohorts.items()}
+        whole = sum(sums.values())
+    out = []
+    for key, t in cells:
+        c = cohorts[key].without(t)
+        if name == "twfe_clustered":
+            own = _two_way_sums(c, n)
+            effect = np.linalg.pinv(left - sums[key][0] + own[0]) @ (right - sums[key][1] + own[1])
+            part = outcome_parts(list((cohorts | {key: c}).values()), n)
+            out.append(float((c.mean - effect[c.at]).mean() + effect[t]) if part[t] == part[c.at[0]] else np.nan)
+        elif kind == "apm":
+            f = np.linalg.eigh(whole - sums[key] + _unexplained(c, n, int(r)))[1][:, : int(r)]
+            known = c.at.size >= int(r) and np.linalg.matrix_rank(f[c.at], RANK_TOLERANCE) == int(r)
+            out.append(float(f[t] @ (np.linalg.pinv(f[c.at]) @ c.mean)) if known else np.nan)
+        else:
+            out.append(float(estimate(name, cohorts | {key: c}, n)[key][t]))
+    return out

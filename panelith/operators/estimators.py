@@ -196,10 +196,10 @@ def leave_one_out(panel: Panel, names: list[str], n: int, seed: int = 0, rank: i
     def run(g: pd.DataFrame) -> pd.DataFrame:
         outcomes, cohorts = linalg.from_rows(g)
         place = {t: i for i, t in enumerate(outcomes)}
-        out = []
-        for key, size, t in cells:
-            edited = {**cohorts, key: cohorts[key].without(place[t])}
-            out += [(int(g["b"].iloc[0]), key, size, t, name, float(linalg.estimate(name, edited, len(outcomes))[key][place[t]])) for name in names]
+        b, out = int(g["b"].iloc[0]), []
+        for name in names:
+            made = linalg.left_out(name, cohorts, len(outcomes), [(key, place[t]) for key, _, t in cells])
+            out += [(b, key, size, t, name, v) for (key, size, t), v in zip(cells, made, strict=True)]
         return pd.DataFrame(out, columns=["b", "cohort_key", "cohort_size", "outcome", "est_name", "boot_outcome_mean"])
 
     if not cells:

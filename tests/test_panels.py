@@ -263,3 +263,12 @@ def test_resuming_leaves_what_is_not_done(spark):
     work = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "cohort_key string, outcome string")
     done = spark.createDataFrame([("a", "x"), ("a", "x")], "cohort_key string, outcome string")
     assert {tuple(r) for r in tables.unfinished(work, done, ["cohort_key", "outcome"]).collect()} == {("a", "y"), ("b", "x")}
+
+
+@pytest.mark.parametrize("name", ["twfe_clustered", "apm_rank_1", "apm_rank_2", "twfe_apm_rank_1"])
+def test_left_out_estimates_equal_those_of_edited_cohorts(spark, name):
+    rows, _ = factor_rows("factor", [(0, 4), (1, 8), (4, 9)], 9)
+    _, cohorts = linalg.from_rows(panel.moments(panel.build(cells(spark, rows), 2, 10)).toPandas())
+    spots = [(k, t) for k, c in cohorts.items() for t in c.at.tolist()]
+    want = [linalg.estimate(name, cohorts | {k: cohorts[k].without(t)}, 9)[k][t] for k, t in spots]
+    assert np.allclose(linalg.left_out(name, cohorts, 9, spots), want, equal_nan=True)
